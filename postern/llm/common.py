@@ -70,6 +70,12 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: str
     return left.join(pairs, [key, "_salt"], how).drop("_salt")
 
 
+def semi(rows: DataFrame, ids: DataFrame, key: str, most: int = 2_000_000) -> DataFrame:
+    """Rows whose key is in ids (a written table of distinct keys); ids go by broadcast if there are ``most`` at most."""
+    few = ids.limit(most + 1).count() <= most
+    return rows.join(F.broadcast(ids) if few else ids, key, "left_semi")
+
+
 def text_buffer(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the n + 1 offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -2,12 +2,12 @@
 
 A document's set holds the 64-bit hashes of its distinct 4-word shingles (with fewer words: the whole sequence as
 one; without words: empty, linked with nothing).  Documents with equal sets form a class, of which the smallest
-doc_id goes on.  Each of ``trees`` trees deals the representatives by one random minwise token; a node with more
-than ``leaf`` documents branches again, by k tokens at once on 2 * 1.25^k random paths, k growing with its size.
+doc_id goes on.  Each of ``trees`` trees deals the representatives by one minwise token; a node with more
+than ``leaf`` documents branches again, by k tokens at once on 1.25^k random paths, k growing with its size.
 In a leaf, minhash estimates find the clusters of documents that could be linked; each cluster is then compared
 exhaustively on full sets, and components come from the verified links alone.
 
-Recall.  A pair at similarity 0.8 shares a node of the first level with probability 1 - 0.2^trees (1e-7 for ten
+Recall.  A pair at similarity 0.8 shares a node of the first level with probability 1 - 0.2^trees (3e-6 for eight
 trees); leaves drop a pair only if its 128-token estimate is below 0.64, 4.5 standard deviations under 0.8.
 
 Defined results: a null or empty text, or one of separators only, has n_shingles 0 and is its own component; equal
@@ -17,16 +17,18 @@ doc_id and text are not looked at.
 """
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from . import common as C
 
-TOKENS = 128
+#: 16-bit tokens for estimates and deeper branching; 63-bit tokens of the first level, one for each tree.
+TOKENS, TREES = 128, 8
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -120,11 +122,11 @@ def _seeds(tokens: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 63, tokens, dtype=np.uint64) << np.uint64(1), rng.integers(0, 1 << 63, tokens, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def minwise(value: np.ndarray, at: np.ndarray, tokens: int = TOKENS) -> np.ndarray:
-    """A row of minwise tokens for each set; empty sets get zeros."""
+def minwise(value: np.ndarray, at: np.ndarray, tokens: int) -> np.ndarray:
+    """A row of 64-bit minwise tokens for each set; empty sets get zeros."""
     xor, mul = _seeds(tokens)
     rows = len(at) - 1
-    out = np.zeros((rows, tokens), np.int32)
+    out = np.zeros((rows, tokens), np.uint64)
     some = np.flatnonzero(np.diff(at))
     if not len(some):
         return out
@@ -134,12 +136,12 @@ def minwise(value: np.ndarray, at: np.ndarray, tokens: int = TOKENS) -> np.ndarr
         for j in range(tokens):
             np.bitwise_xor(value, xor[j], out=scratch)
             np.multiply(scratch, mul[j], out=scratch)
-            out[some, j] = (np.minimum.reduceat(scratch, at_some) >> np.uint64(8)).astype(np.uint32).view(np.int32)
+            out[some, j] = np.minimum.reduceat(scratch, at_some)
     return out
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class_a and class_b (a 128-bit hash of the set, null for empty sets), tokens."""
+    """doc_id, n_shingles, class_a and class_b (a 128-bit hash of the set, null for empty sets), roots, tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -150,16 +152,19 @@ def sketches(docs: DataFrame) -> DataFrame:
                 a = _total(value, at)
                 b = _total(_mix(value ^ np.uint64(0x5851F42D4C957F2D)), at)
             none = n == 0
-            tokens = minwise(value, at)
+            drawn = minwise(value, at, TREES + TOKENS)
+            roots, tokens = drawn[:, :TREES].astype(np.int64), _mix(drawn[:, TREES:]).astype(np.uint16).view(np.int16)
+            ends = np.arange(len(n) + 1, dtype=np.int32)
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id"),
                 "n_shingles": pa.array(n, pa.int64()),
                 "class_a": pa.array(a.view(np.int64), pa.int64(), mask=none),
                 "class_b": pa.array(b.view(np.int64), pa.int64(), mask=none),
-                "tokens": pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * TOKENS), pa.array(tokens.ravel())),
+                "roots": pa.ListArray.from_arrays(pa.array(ends * TREES), pa.array(roots.ravel())),
+                "tokens": pa.ListArray.from_arrays(pa.array(ends * TOKENS), pa.array(tokens.ravel())),
             })
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class_a long, class_b long, tokens array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class_a long, class_b long, roots array<long>, tokens array<smallint>")
 
 
 def _total(value: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -295,41 +300,46 @@ def _node(parent: Column, path: Column, k: Column) -> Column:
     return F.xxhash64(parent, path, picks)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = 10, leaf: int = 384, least: float = 0.64, levels: int = 12) -> DataFrame:
+def _blocks(big: DataFrame, leaf: int, leaders: int = 64) -> DataFrame:
+    """Cut nodes into blocks of about leaf documents; the same few leaders join every block of their node."""
+    blocks = F.ceil(F.col("n") / F.lit(leaf - leaders))
+    own = big.select("node", "rep", F.pmod(F.xxhash64(F.lit(99), "node", "rep"), blocks).alias("block"))
+    order = Window.partitionBy("node").orderBy(F.xxhash64("rep", "node"), "rep")
+    lead = big.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= leaders)
+    lead = lead.select("node", "rep", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
+    return own.union(lead).distinct().select(F.xxhash64("node", "block").alias("node"), "rep")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, leaf: int = 1024, least: float = 0.64, levels: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs.  See the module's text for the method."""
-    spark = docs.sparkSession
     rows = C.cut(sketches(docs), "sketches")
-    sets = rows.filter("n_shingles > 0").groupBy("class_a", "class_b").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"))
+    sets = rows.filter("n_shingles > 0").groupBy("class_a", "class_b").agg(F.min("doc_id").alias("rep"), F.first("roots").alias("roots"), F.first("tokens").alias("tokens"))
     reps = C.cut(sets, "reps")
     known = reps.filter("rep is not null").select("rep", "tokens")
-    nodes = known.select("rep", "tokens", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"))
-    nodes = nodes.select(_node(F.lit(0).cast("long"), F.col("tree").cast("long"), F.lit(1)).alias("node"), "rep")
-    leaves = None
+    nodes = reps.filter("rep is not null").select("rep", F.posexplode("roots")).select(F.xxhash64("pos", "col").alias("node"), "rep")
+    leaves = []
     for level in range(levels + 1):
+        carried = [c for c in nodes.columns if c == "tokens"]
         sizes = nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
         sized = C.cut(C.hot_join(nodes, sizes, "node", "rep"), f"nodes{level}")
-        small = sized.filter(f"n <= {leaf}").select("node", "rep")
-        leaves = small if leaves is None else leaves.union(small)
+        leaves.append(sized.filter(f"n <= {leaf}").select("node", "rep"))
         big = sized.filter(f"n > {leaf}")
         if big.isEmpty():
             break
-        if level == levels:  # tokens do not tell these apart: blocks, each with the node's 64 leaders
-            block = F.pmod(F.xxhash64(F.lit(99), "node", "rep"), F.ceil(F.col("n") / (leaf - 64)))
-            from pyspark.sql import Window
-            lead = big.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("rep", "node"), "rep"))).filter("r <= 64")
-            lead = lead.select("node", "rep", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / (leaf - 64)) - 1).cast("int"))).cast("long").alias("block"))
-            both = big.select("node", "rep", block.alias("block")).union(lead).select(F.xxhash64("node", "block").alias("node"), "rep").distinct()
-            leaves = leaves.union(both)
+        if level == levels:  # tokens do not tell these apart: blocks, each with the node's leaders
+            leaves.append(_blocks(big, leaf))
             break
+        big = big if carried else big.join(known, "rep")
         k = F.greatest(F.lit(1), F.least(F.lit(8), F.ceil(F.log(F.col("n") / F.lit(leaf)) / F.lit(-math.log(0.85))))).cast("int")
-        paths = F.ceil(2 * F.pow(F.lit(1.25), k)).cast("int")
-        split = big.join(known, "rep").select("node", "rep", "tokens", k.alias("k"), F.explode(F.sequence(F.lit(1), paths)).alias("path"))
-        nodes = split.select(_node(F.col("node"), F.col("path").cast("long"), F.col("k")).alias("node"), "rep")
+        paths = F.ceil(F.pow(F.lit(1.25), k)).cast("int")
+        split = big.select("node", "rep", "tokens", k.alias("k"), F.explode(F.sequence(F.lit(1), paths)).alias("path"))
+        nodes = split.select(_node(F.col("node"), F.col("path").cast("long"), F.col("k")).alias("node"), "rep", "tokens")
+    leaves = functools.reduce(DataFrame.union, leaves)
     clusters = C.by_group(leaves.join(known, "rep"), "node", _clusters(least), "cluster long, rep long")
     clusters = C.cut(clusters.distinct(), "clusters")
     wanted = clusters.select(F.col("rep").alias("doc_id")).distinct()
     source = docs.select("doc_id", "text").filter("doc_id is not null")
-    full = full_sets(source.join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
+    full = full_sets(C.semi(source, C.cut(wanted, "wanted"), "doc_id")).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
     edges = C.cut(C.by_group(clusters.join(full, "rep"), "cluster", _verify(percent), "a long, b long").distinct(), "edges")
     joined = components(edges)
     of_class = reps.select("class_a", "class_b", "rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left").select(
