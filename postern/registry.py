@@ -5,9 +5,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from postern.plans import relational, textual
 
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+_PLANS = (relational, textual)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _PLANS for k, v in m.QUERIES.items()}
+ORACLE: dict[str, str] = {k: v for m in _PLANS for k, v in m.ORACLE.items()}
+FLAGSHIP = textual.campaign_tracing
