@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 PERMUTATIONS, BANDS = 64, 16
 
@@ -32,7 +32,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 SEEDS = _mix(np.uint32(0x9E3779B9) + np.arange(PERMUTATIONS, dtype=np.uint32) * np.uint32(0x632BE5AB))
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def minhash(features: pd.Series) -> pd.Series:
     """64 minima for each array of strings; zeros for an empty or null one."""
     def one(items) -> list[int]:
@@ -43,7 +43,7 @@ def minhash(features: pd.Series) -> pd.Series:
     return features.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def simhash(features: pd.Series) -> pd.Series:
     """64-bit SimHash as 16 hex digits, the high half first."""
     def one(items) -> str:
@@ -76,7 +76,7 @@ def murmur3_32(data: bytes, seed: int = 0) -> int:
     return h ^ (h >> 16)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def murmur3(text: pd.Series) -> pd.Series:
     return text.map(lambda t: murmur3_32((t or "").encode()))
 

@@ -188,7 +188,7 @@ def agg20_mode_first_seen(spark, d):
     return aggregates.mode_first_seen(t(spark, d, "events"), "user_id", "event_type", "event_id")
 
 
-@query("""WITH s AS (SELECT user_id, event_type, least(sum((event_id % 7) / 10.0::DOUBLE), CASE event_type WHEN 'click' THEN 1.5 WHEN 'error' THEN 3.0 ELSE 2.0 END) AS s FROM events GROUP BY ALL)
+@query("""WITH s AS (SELECT user_id, event_type, least(sum((event_id % 7) / 10.0::DOUBLE), CASE event_type WHEN 'click' THEN 1.5 WHEN 'error' THEN 3.0 ELSE 2.0 END) AS s FROM events GROUP BY user_id, event_type)
 SELECT user_id, CAST(round(100 / (1 + exp(-round(x, 6)))) AS INT) AS score FROM (SELECT user_id, sum(s) - 2.6 AS x FROM s GROUP BY user_id)""")
 def agg23_capped_logistic(spark, d):
     rows = t(spark, d, "events").withColumn("w", (F.col("event_id") % 7) / F.lit(10.0))

@@ -173,7 +173,7 @@ def fnd16_link_flags(spark, d):
 
 
 @query(r"""WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host FROM pages), l AS (SELECT DISTINCT CASE WHEN hash_ < 3 THEN org ELSE host END AS name FROM (SELECT host, regexp_extract(host, '([^.]+\.[^.]+)$', 1) AS org, length(host) % 5 AS hash_ FROM h) WHERE hash_ <> 4),
-c AS (SELECT page_id, host, regexp_replace(host, '^www\.', '') AS first FROM h), x AS (SELECT page_id, first, unnest(list_transform(range(0, len(string_split(first, '.')) - 1), lambda i: array_to_string(list_slice(string_split(first, '.'), i + 1, NULL), '.'))) AS name FROM c)
+c AS (SELECT page_id, host, regexp_replace(host, '^www\.', '') AS first FROM h), x AS (SELECT page_id, first, unnest(list_transform(range(0, len(string_split(first, '.')) - 1), lambda i: array_to_string(list_slice(string_split(first, '.'), i + 1, len(string_split(first, '.'))), '.'))) AS name FROM c)
 SELECT page_id, x.name AS matched, CASE WHEN x.name = first THEN 'host' ELSE 'parent-domain' END AS match_type FROM x JOIN l USING (name)""")
 def join17_suffix_join(spark, d):
     h = t(spark, d, "pages").select("page_id", net.host(F.col("url")).alias("host"))
