@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the session's folder, or (where none is set, as in tests) in one of its own."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
@@ -18,7 +18,7 @@ def _cut(df: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, most: int = 50) -> DataFrame:
     """id, component (the smallest id reachable), by alternating large and small stars."""
-    now = _cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+    now = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
     before = None
     for _ in range(most):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -26,7 +26,7 @@ def components(edges: DataFrame, most: int = 50) -> DataFrame:
         large = both.filter("b > a").join(least, "a").select("m", F.col("b").alias("u")).filter("m <> u").distinct()
         least = large.groupBy("u").agg(F.min("m").alias("n"))
         small = large.join(least, "u").select(F.col("n").alias("a"), F.col("m").alias("b")).union(least.select(F.col("n").alias("a"), F.col("u").alias("b"))).filter("a <> b").distinct()
-        now = _cut(small)
+        now = cut(small)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             return now.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component")).union(now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
