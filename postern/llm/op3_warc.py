@@ -169,4 +169,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_warc": op3_warc}
-ORACLE: dict[str, str] = {}
+_FIVE = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v{k} >> {s}) & 31) + 1, 1)" for k in range(8) for s in (15, 10, 5, 0))  # 20 bits at a time
+_BLOCKS = ", ".join(f"CAST('0x' || substr(h, {5 * k + 1}, 5) AS INTEGER) AS v{k}" for k in range(8))
+ORACLE = {"op3_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, strlen(html) AS n, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS most FROM p),
+v AS (SELECT *, {_BLOCKS} FROM h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_FIVE} AS payload_digest, CASE WHEN page_id = most THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> most THEN most END AS refers_to FROM v"""}
