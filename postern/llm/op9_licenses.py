@@ -124,4 +124,37 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_licenses": op9_licenses}
-ORACLE: dict[str, str] = {}
+
+
+def _sql(share: float = 0.6) -> str:
+    """The same labels by trying every start of every template, in DuckDB's SQL."""
+    index = Index(TEMPLATES, BASE)
+    places, shares, own, every, scores = [], [], [], [], []
+    for t, (label, words, spans, is_base) in enumerate(index.items):
+        at_least = -min(at for at, _ in spans)
+        word = lambda j: f"(CASE WHEN s + {j} >= 0 THEN w[s + {j + 1}] END)"
+        must = " AND ".join(f"coalesce({word(at + i)} = '{x}', false)" for at, p in spans for i, x in enumerate(p))
+        places.append(f"list_filter(range({at_least}, len(w)), lambda s: {must}) AS t{t}")
+        if is_base:
+            own.append((label, t))
+            every.append(f"CASE WHEN len(t{t}) > 0 THEN ['{label}'] ELSE [] END")
+        else:
+            total, got = "0.0::DOUBLE", "0.0::DOUBLE"
+            for i, x in enumerate(words):
+                total, got = f"({total} + {index.idf[x]}::DOUBLE)", f"({got} + CASE WHEN {word(i)} = '{x}' THEN {index.idf[x]}::DOUBLE ELSE 0.0::DOUBLE END)"
+            shares.append(f"list_max(list_filter(list_transform(t{t}, lambda s: {got} / {total}), lambda x: x >= {share})) AS h{t}")
+            every.append(f"CASE WHEN h{t} IS NOT NULL THEN ['{label}'] ELSE [] END")
+            scores.append(f"coalesce(h{t}, 0.0)")
+    all_places = f"list_concat({', '.join(f't{t}' for _, t in own)})" if len(own) > 1 else f"t{own[0][1]}"
+    base_labels = f"list_concat({', '.join(f'CASE WHEN len(t{t}) > 0 THEN [{chr(39)}{label}{chr(39)}] ELSE [] END' for label, t in own)})"
+    text = lambda x: f"coalesce(array_to_string(list_sort(list_distinct({x})), ','), '')"
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
+p AS (SELECT doc_id, w, {', '.join(places)} FROM d),
+h AS (SELECT *, {', '.join(shares)}, {all_places} AS places FROM p)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
+       {text(base_labels)} AS base_labels, {text(f"list_concat({', '.join(every)})")} AS labels,
+       greatest({', '.join(scores)}, CASE WHEN len(places) > 0 THEN 0.5 ELSE 0.0 END)::DOUBLE AS score FROM h"""
+
+
+ORACLE = {"op9_licenses": _sql()}
