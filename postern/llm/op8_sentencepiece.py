@@ -25,19 +25,40 @@ N_BEST = 4
 SCHEMA = "doc_id long, n_tokens long, score double, ids_sha256 string, n_best array<double>, round_trip boolean"
 
 
-def _chunk(lattice: unigram.Lattice, chunk: str, n: int) -> tuple:
-    """Best score, best ids, losses of the next segmentations, and the ids of all."""
-    found = lattice.n_best(chunk, n)
-    best = found[0][0]
-    if len(lattice.best) >= unigram.MOST_KEPT:
-        lattice.best.clear()
-    got = lattice.best[chunk] = best, array("i", found[0][1]), tuple(best - s for s, _ in found[1:]), [ids for _, ids in found]
-    return got
+Entry = tuple[float, bytes, tuple[float, ...]]  # best score, best ids, losses of the next segmentations
+
+
+def learn(lattice: unigram.Lattice, chunks: set[str], n: int) -> None:
+    """Entries of chunks that the worker has not met, in sorted order; a chunk of several parts is made of theirs.
+
+    Entries live in two generations of bounded size, so that frequent chunks stay when rare ones go.
+    """
+    if len(lattice.best) + len(chunks) > unigram.MOST_KEPT // 2:
+        lattice.before, lattice.best = lattice.best, {}
+    new = []
+    for c in chunks:
+        if c not in lattice.best:
+            if (got := lattice.before.get(c)) is not None:
+                lattice.best[c] = got
+            else:
+                new.append(c)
+    whole = {c: lattice.parts(c) for c in new}
+    forward = unigram.Forward(lattice)
+    for part in sorted({p for parts in whole.values() for p in parts if p not in lattice.best}):
+        if (got := lattice.before.get(part)) is not None:
+            lattice.best[part] = got
+            continue
+        found = lattice.n_best(part, n, forward, paths=False)
+        lattice.best[part] = found[0][0], array("i", found[0][1]).tobytes(), tuple([found[0][0] - s for s, _ in found[1:]])
+    for chunk, parts in whole.items():
+        if len(parts) > 1:
+            each = [lattice.best[p] for p in parts]
+            lattice.best[chunk] = sum([e[0] for e in each], 0.0), b"".join([e[1] for e in each]), tuple([loss for loss, _ in merge([e[2] for e in each], n)[1:]])
 
 
 def merge(losses: list[tuple[float, ...]], n: int) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
     """The n least sums of one loss (or none) from each chunk, each with its (chunk, choice) pairs, least first."""
-    first = heapq.nsmallest(n - 1, [(x[0], at) for at, x in enumerate(losses) if x])
+    first = heapq.nsmallest(n - 1, [(x[0], at) for at, x in enumerate(losses) if x]) if len(losses) > n else sorted([(x[0], at) for at, x in enumerate(losses) if x])[: n - 1]
     order = [at for _, at in first]
     out: list[tuple[float, tuple[tuple[int, int], ...]]] = []
     queue: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
@@ -54,18 +75,26 @@ def merge(losses: list[tuple[float, ...]], n: int) -> list[tuple[float, tuple[tu
     return out
 
 
-def encode_text(lattice: unigram.Lattice, text: str, n: int = N_BEST) -> tuple[array, float, list[tuple[float, tuple]], list[tuple]]:
-    """Best ids, their score, the n best as (loss, picks), and the chunks' segmentations."""
-    kept = lattice.best.get
-    chunks = [kept(c) or _chunk(lattice, c, n) for c in lattice.chunk.findall(lattice.normal(text))]
-    ids = array("i", b"".join([c[1] for c in chunks]))
-    return ids, sum([c[0] for c in chunks], 0.0), merge([c[2] for c in chunks], n), chunks
+def combine(lattice: unigram.Lattice, chunks: list[str], n: int) -> tuple[array, float, list[tuple[float, tuple]]]:
+    """Best ids, their score, and the n best as (loss, picks), of chunks that are learned."""
+    entries = [lattice.best[c] for c in chunks]
+    return array("i", b"".join([e[1] for e in entries])), sum([e[0] for e in entries], 0.0), merge([e[2] for e in entries], n)
 
 
-def n_best_ids(chunks: list[tuple], picks: tuple) -> list[int]:
-    """The ids of one of the n best segmentations."""
+def encode_text(lattice: unigram.Lattice, text: str, n: int = N_BEST) -> tuple[array, float, list[tuple[float, tuple]], list[str]]:
+    """Best ids, their score, the n best as (loss, picks), and the chunks that the picks count."""
+    chunks = lattice.chunk.findall(lattice.normal(text))
+    learn(lattice, set(chunks), n)
+    return *combine(lattice, chunks, n), chunks
+
+
+def n_best_ids(lattice: unigram.Lattice, chunks: list[str], picks: tuple, n: int = N_BEST) -> list[int]:
+    """The ids of one of the n best segmentations: those of the picked chunks are searched again, with their paths."""
     chosen = dict(picks)
-    return [i for at, c in enumerate(chunks) for i in c[3][chosen.get(at, 0)]]
+    out: list[int] = []
+    for at, chunk in enumerate(chunks):
+        out += lattice.n_best(chunk, n)[chosen[at]][1] if at in chosen else array("i", lattice.best[chunk][1])
+    return out
 
 
 def encode(docs: DataFrame, n: int = N_BEST, model: str = unigram.MODEL) -> DataFrame:
@@ -75,11 +104,13 @@ def encode(docs: DataFrame, n: int = N_BEST, model: str = unigram.MODEL) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = unigram.lattice(model)
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("score", pa.float64()), ("ids_sha256", pa.string()), ("n_best", pa.list_(pa.float64())), ("round_trip", pa.bool_())])
-        for batch in batches:
+        for batch in C.slices(batches, "text", 2 << 20):
+            texts = [text or "" for text in batch.column("text").to_pylist()]
+            chunks = [lattice.chunk.findall(lattice.normal(text)) for text in texts]
+            learn(lattice, set().union(*chunks), n)
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                text = text or ""
-                ids, score, best, _ = encode_text(lattice, text, n)
+            for doc, text, own in zip(batch.column("doc_id").to_pylist(), texts, chunks):
+                ids, score, best = combine(lattice, own, n)
                 rows.append((doc, len(ids), score, hashlib.sha256(ids.tobytes()).hexdigest(), [score - loss for loss, _ in best], lattice.decode(ids) == text))
             if rows:
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)

@@ -38,8 +38,12 @@ class Lattice:
         cut = "" if lines else r"\n|"
         stop = "" if lines else r"\n"
         self.chunk = re.compile(r"(?s).+" if glued else f"{cut}{MARK}*[^{MARK}{stop}]+|{MARK}+")
+        self.names = {i: p.replace(MARK, " ").encode("utf-8") for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
+        self.longest = max(map(len, pieces), default=1)
+        self.side_by_side = {p[k: k + 2] for p in pieces for k in range(len(p) - 1)}
         self.counts: dict[str, tuple[float, int]] = {}
         self.best: dict[str, tuple] = {}
+        self.before: dict[str, tuple] = {}
 
     @classmethod
     def load(cls, path: str = MODEL) -> Lattice:
@@ -71,6 +75,9 @@ class Lattice:
     def count(self, chunk: str) -> tuple[float, int]:
         """Score and number of pieces of the best path; only these two are carried."""
         got = self.counts.get(chunk)
+        if got is None and len(parts := self.parts(chunk)) > 1:
+            each = [self.count(p) for p in parts]
+            got = self.counts[chunk] = sum([s for s, _ in each], 0.0), sum([n for _, n in each])
         if got is None:
             scores, counts = [0.0], [0]
             for end, edges in enumerate(self.edges(chunk)):
@@ -88,71 +95,109 @@ class Lattice:
             self.counts[chunk] = got
         return got
 
-    def n_best(self, chunk: str, n: int) -> list[tuple[float, list[int]]]:
+    def n_best(self, chunk: str, n: int, forward: Forward | None = None, paths: bool = True) -> list[tuple[float, list[int]]]:
         """The n best segmentations, best first; of equal scores, that whose last pieces start first.
 
         Forward Viterbi scores are the exact rest of every backward path: an edge's loss is what it scores less than
         the best way to its end, and a backward path's cost is the sum of its losses.  What comes off the queue is
         walked down to the start along edges without loss, so each step of the A* search gives one segmentation.
+        Without ``paths`` only the best has its ids.
         """
-        into = self.edges(chunk)
-        ahead = [0.0]
-        ids: dict[tuple[int, int], int] = {}
-        losses: list[list[tuple[float, int]]] = [[]]
-        for end in range(1, len(chunk) + 1):
-            edges = into[end]
-            if len(edges) == 1:
-                start, score, i = edges[0]
-                ahead.append(ahead[start] + score)
-                losses.append([(0.0, start)])
-                ids[start, end] = i
-                continue
-            here = []
-            for start, score, i in edges:
-                here.append((ahead[start] + score, start))
-                ids[start, end] = i
-            best = max(here)[0]
-            ahead.append(best)
-            losses.append(sorted([(best - f, start) for f, start in here]))
-        queue: list[tuple[float, tuple[int, ...]]] = [(0.0, (len(chunk),))]  # sorted; no longer than what is still asked for
+        forward = forward or Forward(self)
+        forward.move(chunk)
+        total, losses = forward.ahead[-1], forward.losses
+        # sorted, and no longer than what is still asked for; cuts go from the end back, with the ids of the pieces
+        queue: list[tuple[float, tuple[int, ...], tuple[int, ...]]] = [(0.0, (len(chunk),), ())]
         out: list[tuple[float, list[int]]] = []
         while queue:
-            loss, cuts = queue.pop(0)
+            loss, cuts, ids = queue.pop(0)
             room = n - len(out) - 1
             del queue[room:]
             limit = queue[-1][0] if room and len(queue) == room else math.inf if room else -1.0
             at = cuts[-1]
             while at:
                 edges = losses[at]
-                for more, start in edges[1:]:
-                    if loss + more > limit:
-                        break
-                    bisect.insort(queue, (loss + more, (*cuts, start)))
-                    if len(queue) >= room:
-                        del queue[room:]
-                        limit = queue[-1][0]
-                at = edges[0][1]
-                cuts = (*cuts, at)
+                if len(edges) > 1 and loss + edges[1][0] <= limit:
+                    for more, start, i in edges[1:]:
+                        if loss + more > limit:
+                            break
+                        bisect.insort(queue, (loss + more, (*cuts, start), (*ids, i)))
+                        if len(queue) >= room:
+                            del queue[room:]
+                            limit = queue[-1][0]
+                _, at, i = edges[0]
+                cuts += (at,)
+                ids += (i,)
             found: list[int] = []
-            for end, start in zip(cuts[-2::-1], cuts[:0:-1]):
-                i = ids[start, end]
-                if i >= 0:
-                    found.append(i)
-                elif self.byte_ids:
-                    found += [self.byte_ids[x] for x in chunk[start:end].encode("utf-8", "surrogatepass")]
-                else:
-                    found.append(self.unknown_id)
-            out.append((ahead[-1] - loss, found))
+            if paths or not out:
+                found = list(ids[::-1])
+                if min(found, default=0) < 0:
+                    found = self.known(chunk, cuts, ids)
+            out.append((total - loss, found))
+        return out
+
+    def known(self, chunk: str, cuts: tuple[int, ...], ids: tuple[int, ...]) -> list[int]:
+        """Ids of a backward path, unknown characters as bytes."""
+        found: list[int] = []
+        for end, start, i in zip(cuts[-2::-1], cuts[:0:-1], ids[::-1]):
+            if i >= 0:
+                found.append(i)
+            elif self.byte_ids:
+                found += [self.byte_ids[x] for x in chunk[start:end].encode("utf-8", "surrogatepass")]
+            else:
+                found.append(self.unknown_id)
+        return found
+
+    def parts(self, chunk: str) -> list[str]:
+        """The chunk cut wherever two characters stand side by side in no piece; no edge of the lattice is cut."""
+        out, start = [], 0
+        for k in range(1, len(chunk)):
+            if chunk[k - 1: k + 1] not in self.side_by_side:
+                out.append(chunk[start:k])
+                start = k
+        out.append(chunk[start:])
         return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the mark in front goes."""
-        if not hasattr(self, "names"):
-            self.names = {i: p.replace(MARK, " ").encode("utf-8") for p, (i, _) in self.pieces.items()} | {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
         out = b"".join(map(self.names.__getitem__, ids)).decode("utf-8", "surrogatepass")
         return out[1:] if out.startswith(" ") else out
 
 
+class Forward:
+    """Forward Viterbi over one chunk after another; what a chunk shares with the one before is kept, so sorted chunks
+    cost little."""
+
+    def __init__(self, lattice: Lattice) -> None:
+        self.lattice, self.text = lattice, ""
+        self.ahead = [0.0]
+        self.losses: list[list[tuple[float, int, int]]] = [[]]  # into each end: (loss, start, id), least loss first
+
+    def move(self, chunk: str) -> None:
+        before, ahead, losses = self.text, self.ahead, self.losses
+        same, most = 0, min(len(before), len(chunk))
+        while same < most and before[same] == chunk[same]:
+            same += 1
+        del ahead[same + 1:], losses[same + 1:]
+        pieces, longest, unknown = self.lattice.pieces.get, self.lattice.longest, self.lattice.unknown_score
+        for end in range(same + 1, len(chunk) + 1):
+            here = []
+            for start in range(end - longest if end > longest else 0, end):
+                got = pieces(chunk[start:end])
+                if got is not None:
+                    here.append((ahead[start] + got[1], start, got[0]))
+            if not here or here[-1][1] != end - 1:
+                here.append((ahead[end - 1] + unknown, end - 1, -1))
+            if len(here) == 1:
+                ahead.append(here[0][0])
+                losses.append([(0.0, here[0][1], here[0][2])])
+            else:
+                best = max(here)[0]
+                ahead.append(best)
+                losses.append(sorted([(best - f, start, i) for f, start, i in here]))
+        self.text = chunk
+
+
 _loaded: dict[str, Lattice] = {}
 
 

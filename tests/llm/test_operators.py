@@ -190,7 +190,7 @@ def test_unigram_against_the_library(lattice):
         want = sp.nbest_encode(text, nbest_size=4)
         total = lambda x: sum(sp.get_score(i) for i in x)
         assert [score - loss for loss, _ in best][: len(want)] == pytest.approx([total(x) for x in want])
-        assert [total(op8_sentencepiece.n_best_ids(chunks, picks)) for _, picks in best] == pytest.approx([score - loss for loss, _ in best])
+        assert [total(op8_sentencepiece.n_best_ids(lattice, chunks, picks)) for _, picks in best] == pytest.approx([score - loss for loss, _ in best])
         assert lattice.decode(list(ids)) == text
 
 
