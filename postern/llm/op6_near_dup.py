@@ -2,13 +2,16 @@
 
 A document's set holds the 64-bit hashes of its distinct 4-word shingles (with fewer words: the whole sequence as
 one; without words: empty, linked with nothing).  Documents with equal sets form a class, of which the smallest
-doc_id goes on.  Each of ``trees`` trees deals the representatives by one minwise token; a node with more
-than ``leaf`` documents branches again, by k tokens at once on 1.25^k random paths, k growing with its size.
-In a leaf, minhash estimates find the clusters of documents that could be linked; each cluster is then compared
-exhaustively on full sets, and components come from the verified links alone.
+doc_id goes on.  Each of ``TREES`` trees deals the representatives by one minwise token.  The documents of a node with
+more than ``leaf`` of them are dealt once more, by BANDS bands of ROWS tokens; that deal does not look at the node, so
+it costs a document the same in however many large nodes it stands.  In a group, minhash estimates find the clusters of
+documents that could be linked; each cluster is then compared on full sets, and components come from the verified links
+alone.  Groups and clusters of more than ``most`` rows are cut into blocks, and every two blocks are compared: nothing
+is dropped, and no task holds more than ``most`` rows of a group.
 
-Recall.  A pair at similarity 0.8 shares a node of the first level with probability 1 - 0.2^trees (3e-6 for eight
-trees); leaves drop a pair only if its 128-token estimate is below 0.64, 4.5 standard deviations under 0.8.
+Recall.  Two documents at similarity 0.8 are missed if no tree has them in one node (0.2^8 = 2.6e-6), if that node is
+large and no band has them together ((1 - 0.8^3)^20 = 5.9e-7), or if fewer than 77 of their 128 tokens are equal
+(7.6e-8): 3.3e-6 in all, whatever the size of a node.
 
 Defined results: a null or empty text, or one of separators only, has n_shingles 0 and is its own component; equal
 rows share a component; a null doc_id never becomes a component_id while its class holds another id, and is never
@@ -17,18 +20,19 @@ doc_id and text are not looked at.
 """
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import common as C
 
-#: 16-bit tokens for estimates and deeper branching; 63-bit tokens of the first level, one for each tree.
+#: 16-bit tokens for estimates and bands; 63-bit tokens of the first level, one for each tree.
 TOKENS, TREES = 128, 8
+#: Bands of the second deal, and the tokens of each.
+BANDS, ROWS = 20, 3
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -208,6 +212,8 @@ def _clusters(least: float):
         need = math.ceil(least * tokens.shape[1])
         label = np.arange(n)
         for i in range(n - 1):
+            if (label[i:] == label[i]).all():
+                continue
             same = np.count_nonzero(tokens[i + 1:] == tokens[i], axis=1)
             hit = np.flatnonzero(same >= need)
             if len(hit):
@@ -295,48 +301,41 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     return now.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component"))
 
 
-def _node(parent: Column, path: Column, k: Column) -> Column:
-    picks = F.transform(F.sequence(F.lit(1), k), lambda j: F.get(F.col("tokens"), F.pmod(F.xxhash64(parent, path, j), F.lit(TOKENS)).cast("int")))
-    return F.xxhash64(parent, path, picks)
+def _bands() -> Column:
+    """One key for each band of ROWS tokens."""
+    return F.array(*[F.xxhash64(F.lit(j), *[F.get("tokens", F.lit(ROWS * j + i)) for i in range(ROWS)]) for j in range(BANDS)])
 
 
-def _blocks(big: DataFrame, leaf: int, leaders: int = 64) -> DataFrame:
-    """Cut nodes into blocks of about leaf documents; the same few leaders join every block of their node."""
-    blocks = F.ceil(F.col("n") / F.lit(leaf - leaders))
-    own = big.select("node", "rep", F.pmod(F.xxhash64(F.lit(99), "node", "rep"), blocks).alias("block"))
-    order = Window.partitionBy("node").orderBy(F.xxhash64("rep", "node"), "rep")
-    lead = big.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= leaders)
-    lead = lead.select("node", "rep", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
-    return own.union(lead).distinct().select(F.xxhash64("node", "block").alias("node"), "rep")
+def _blocks(rows: DataFrame, group: str, most: int) -> DataFrame:
+    """rows (group, rep) with groups of more than ``most`` rows cut into blocks, of which every two make a group; groups
+    of one row go."""
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n")).filter("n > 1")
+    sized = C.cut(C.hot_join(rows, sizes, group, "rep"), f"sized-{group}")
+    blocks = F.ceil(F.col("n") / F.lit(most // 2))
+    own = F.pmod(F.xxhash64(F.lit(99), group, "rep"), blocks)
+    large = sized.filter(f"n > {most}").select(group, "rep", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    pairs = large.select(F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other")).alias(group), "rep")
+    return sized.filter(f"n <= {most}").select(group, "rep").union(pairs)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, leaf: int = 1024, least: float = 0.64, levels: int = 8) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of docs.  See the module's text for the method."""
+def near_duplicates(docs: DataFrame, percent: int = 80, leaf: int = 1024, least: float = 0.6, levels: int = 1, most: int = 4096) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each row of docs.  See the module's text for the method.
+
+    ``levels`` = 0 leaves out the second deal: large nodes are then compared block by block as they are.
+    """
     rows = C.cut(sketches(docs), "sketches")
     sets = rows.filter("n_shingles > 0").groupBy("class_a", "class_b").agg(F.min("doc_id").alias("rep"), F.first("roots").alias("roots"), F.first("tokens").alias("tokens"))
     reps = C.cut(sets, "reps")
     known = reps.filter("rep is not null").select("rep", "tokens")
     nodes = reps.filter("rep is not null").select("rep", F.posexplode("roots")).select(F.xxhash64("pos", "col").alias("node"), "rep")
-    leaves = []
-    for level in range(levels + 1):
-        carried = [c for c in nodes.columns if c == "tokens"]
+    if levels:
         sizes = nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-        sized = C.cut(C.hot_join(nodes, sizes, "node", "rep"), f"nodes{level}")
-        leaves.append(sized.filter(f"n <= {leaf}").select("node", "rep"))
-        big = sized.filter(f"n > {leaf}")
-        if big.isEmpty():
-            break
-        if level == levels:  # tokens do not tell these apart: blocks, each with the node's leaders
-            leaves.append(_blocks(big, leaf))
-            break
-        big = big if carried else big.join(known, "rep")
-        k = F.greatest(F.lit(1), F.least(F.lit(8), F.ceil(F.log(F.col("n") / F.lit(leaf)) / F.lit(-math.log(0.85))))).cast("int")
-        paths = F.ceil(F.pow(F.lit(1.25), k)).cast("int")
-        split = big.select("node", "rep", "tokens", k.alias("k"), F.explode(F.sequence(F.lit(1), paths)).alias("path"))
-        nodes = split.select(_node(F.col("node"), F.col("path").cast("long"), F.col("k")).alias("node"), "rep", "tokens")
-    leaves = functools.reduce(DataFrame.union, leaves)
-    clusters = C.by_group(leaves.join(known, "rep"), "node", _clusters(least), "cluster long, rep long")
-    clusters = C.cut(clusters.distinct(), "clusters")
+        sized = C.cut(C.hot_join(nodes, sizes, "node", "rep"), "nodes")
+        crowded = known.join(sized.filter(f"n > {leaf}").select("rep").distinct(), "rep")
+        nodes = sized.filter(f"n <= {leaf}").select("node", "rep").union(crowded.select(F.explode(_bands()).alias("node"), "rep"))
+    groups = _blocks(nodes, "node", most)
+    clusters = C.by_group(groups.join(known, "rep"), "node", _clusters(least), "cluster long, rep long")
+    clusters = _blocks(C.cut(clusters.distinct(), "clusters"), "cluster", most)
     wanted = clusters.select(F.col("rep").alias("doc_id")).distinct()
     source = docs.select("doc_id", "text").filter("doc_id is not null")
     full = full_sets(C.semi(source, C.cut(wanted, "wanted"), "doc_id")).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")

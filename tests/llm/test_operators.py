@@ -277,6 +277,32 @@ def test_op6(spark, table, empty):
         assert all(x.kept == (x.doc_id == x.component_id) for x in out)
 
 
+def star(n, edits, length=200):
+    """A base and n copies of it, each with its own words in ``edits`` places: near the base, not near each other."""
+    r = random.Random(17)
+    base = [f"b{i}" for i in range(length)]
+    rows = [(0, " ".join(base), "s")]
+    for i in range(1, n + 1):
+        w = base[:]
+        for at in r.sample(range(4, length - 4, 5), edits):
+            w[at] = f"c{i}x{at}"
+        rows.append((i, " ".join(w), "s"))
+    return rows
+
+
+def test_op6_large_star(spark):
+    rows = star(4000, 5)  # copies are at (197 - 20) / (197 + 20) = 0.816 from the base, at 0.66 or so from each other
+    out = op6_near_dup.near_duplicates(docs(spark, rows)).collect()
+    assert len(out) == 4001 and {x.component_id for x in out} == {0}
+
+
+def test_op6_blocks_compare_all(spark):
+    rows = star(300, 5)
+    for most, levels in ((64, 1), (64, 0)):  # groups and clusters of more than 64 are cut into blocks
+        out = op6_near_dup.near_duplicates(docs(spark, rows), leaf=32, levels=levels, most=most).collect()
+        assert len(out) == 301 and {x.component_id for x in out} == {0}
+
+
 def test_op6_exhaustive_links():
     r = random.Random(4)
     for _ in range(30):
