@@ -210,15 +210,24 @@ def fnm08_markup_counts(spark, d):
 @query()
 def campaign_tracing(spark, d):
     """Near-duplicate campaigns: tokens, shingles, MinHash, band blocking, verification on sketches, components, statistics."""
-    s = sketches(spark, d)
-    keys = s.select("doc_id", F.explode(hashing.band_keys(F.col("sketch"))).alias("band"))
-    pairs = joins.blocked_pairs(keys, "doc_id", "band", fan_out=200, top=300)
-    side = lambda c, n: s.select(F.col("doc_id").alias(c), F.col("sketch").alias(n))
-    scored = pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b").select("a", "b", hashing.same_share(F.col("sa"), F.col("sb")).alias("weight"))
-    edges = scored.filter("weight >= 0.6")
+    return campaigns(sketches(spark, d))
+
+
+def campaigns(s: DataFrame) -> DataFrame:
+    """Campaigns of sketches (doc_id, sketch): equal ones are one representative with n members, and every two
+    representatives that share a band are compared; edges and weights count the pairs of members."""
+    reps = graph.cut(s.filter(F.exists("sketch", lambda v: v != 0)).groupBy("sketch").agg(F.min("doc_id").alias("rep"), F.collect_list("doc_id").alias("ids"), F.count("*").alias("n")))
+    keys = reps.select("rep", F.explode(hashing.band_keys(F.col("sketch"))).alias("band"))
+    pairs = joins.all_pairs(keys, "rep", "band")
+    side = lambda c, n: reps.select(F.col("rep").alias(c), F.col("sketch").alias(f"s{n}"), F.col("n").alias(f"n{n}"))
+    scored = pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").select("a", "b", hashing.same_share(F.col("sa"), F.col("sb")).alias("weight"), (F.col("na") * F.col("nb")).alias("pairs"))
+    edges = graph.cut(scored.filter("weight >= 0.6"))
     label = graph.components(edges)
-    inside = edges.join(label.withColumnRenamed("id", "a"), "a").groupBy("component").agg(F.count("*").alias("edges"), F.round(F.avg("weight"), 3).alias("cohesion"))
-    size = label.groupBy("component").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("id")).alias("ids"))
+    member = reps.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    own = member.filter("n > 1").select("component", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"), F.lit(1.0).alias("weight"))
+    across = edges.join(label.withColumnRenamed("id", "a"), "a").select("component", "pairs", "weight")
+    inside = own.union(across).groupBy("component").agg(F.sum("pairs").alias("edges"), F.round(F.sum(F.col("weight") * F.col("pairs")) / F.sum("pairs"), 3).alias("cohesion"))
+    size = member.groupBy("component").agg(F.sum("n").alias("size"), F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids")).filter("size > 1")
     density = F.round(F.col("edges") / (F.col("size") * (F.col("size") - 1) / 2), 3)
     confidence = F.when((F.col("cohesion") >= 0.75) & (F.col("density") >= 0.5), "high").when(F.col("cohesion") >= 0.65, "medium").otherwise("low")
     name = hashing.set_id(F.transform("ids", lambda x: x.cast("string")))

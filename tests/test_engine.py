@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from postern.functions import hashing, net, text
 from postern.operators import correlate, graph, intel, joins, rules, similarity
+from postern.plans import textual
 from postern.sources import feeds, mail, sinks
 from postern.streaming import jobs
 
@@ -187,3 +188,15 @@ def test_evidence_families(spark):
     senders = spark.createDataFrame([("a", "x.org"), ("b", "y.org")], "message_id string, from_org string")
     got = {(r.message_id, r.family): r.strength for r in correlate.keyed(obs, senders).collect()}
     assert got == {("a", "attachment"): 0.95, ("b", "attachment"): 0.95, ("a", "from-domain"): 0.007}
+
+
+def test_campaigns_of_many_copies(spark):
+    same, near, other = [7] * 64, [7] * 60 + [8] * 4, list(range(100, 164))
+    rows = [(i, same) for i in range(500)] + [(i, near) for i in range(500, 800)] + [(i, other) for i in range(800, 1100)] + [(2000, [9] * 64), (2001, [0] * 64), (2002, [0] * 64)]
+    got = {r.component: r for r in textual.campaigns(spark.createDataFrame(rows, "doc_id long, sketch array<long>")).collect()}
+    assert {k: (r.size, r.edges, r.density) for k, r in got.items()} == {0: (800, 800 * 799 // 2, 1.0), 800: (300, 300 * 299 // 2, 1.0)}
+    inner = 500 * 499 // 2 + 300 * 299 // 2
+    assert got[0].cohesion == round((inner + 500 * 300 * 60 / 64) / (800 * 799 / 2), 3) and got[800].cohesion == 1.0
+    distinct = spark.createDataFrame([(i, [7] * 40 + [1000 * i + j for j in range(1, 25)]) for i in range(400)], "doc_id long, sketch array<long>")
+    (r,) = textual.campaigns(distinct).collect()  # more partners and more ids in a band than blocked_pairs allows
+    assert (r.size, r.edges, r.cohesion) == (400, 400 * 399 // 2, 0.625)
