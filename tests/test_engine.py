@@ -1,5 +1,6 @@
 """Functions, mail, rules, intelligence, graph, feeds, sinks and streams on hand-written cases."""
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -200,3 +201,17 @@ def test_campaigns_of_many_copies(spark):
     distinct = spark.createDataFrame([(i, [7] * 40 + [1000 * i + j for j in range(1, 25)]) for i in range(400)], "doc_id long, sketch array<long>")
     (r,) = textual.campaigns(distinct).collect()  # more partners and more ids in a band than blocked_pairs allows
     assert (r.size, r.edges, r.cohesion) == (400, 400 * 399 // 2, 0.625)
+
+
+def test_jaccard_of_whole_texts(spark, tmp_path):
+    r = random.Random(3)
+    rows = [(900, None, "s0"), (901, "", "s0"), (902, "", "s0")]
+    for group in range(6):
+        base = [f"g{group}w{i}" for i in range(300)] + ["the"]
+        for k in range(12):
+            rows.append((len(rows), " ".join(f"z{r.randrange(10**6)}" if r.random() < 0.02 * k else x for x in base), f"s{k % 2}"))
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = {i: (s, set(x.lower().split(" "))) for i, x, s in rows if x is not None}
+    want = {(a, b): round(len(x & y) / len(x | y), 9) for a, (s, x) in sets.items() for b, (u, y) in sets.items() if a < b and s == u and 10 * len(x & y) >= 8 * len(x | y)}
+    got = {(r.a, r.b): r.j for r in textual.set01_jaccard_documents(spark, str(tmp_path)).collect()}
+    assert got == want and (901, 902) in want and len(want) > 20
