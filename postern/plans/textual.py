@@ -51,9 +51,8 @@ def fnt06_tokens(spark, d):
 
 @query()
 def fnt07_templates(spark, d):
-    """Template and its lower-first profile of each document's first 200 characters (look-ahead has no RE2 form)."""
-    head = F.substring("text", 1, 200)
-    return t(spark, d, "documents").select("doc_id", text.templatize(head).alias("template"), text.templatize(head, False).alias("subject_template"))
+    """Template and its lower-first profile of each document (look-ahead has no RE2 form)."""
+    return t(spark, d, "documents").select("doc_id", text.templatize(F.col("text")).alias("template"), text.templatize(F.col("text"), False).alias("subject_template"))
 
 
 @query("SELECT a, b, CASE WHEN levenshtein(a, b) > 3 THEN 4 ELSE levenshtein(a, b) END AS d FROM (SELECT x.n_name AS a, y.n_name AS b FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey < y.n_nationkey)")

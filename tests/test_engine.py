@@ -215,3 +215,9 @@ def test_jaccard_of_whole_texts(spark, tmp_path):
     want = {(a, b): round(len(x & y) / len(x | y), 9) for a, (s, x) in sets.items() for b, (u, y) in sets.items() if a < b and s == u and 10 * len(x & y) >= 8 * len(x | y)}
     got = {(r.a, r.b): r.j for r in textual.set01_jaccard_documents(spark, str(tmp_path)).collect()}
     assert got == want and (901, 902) in want and len(want) > 20
+
+
+def test_templates_of_whole_texts(spark, tmp_path):
+    spark.createDataFrame([(1, "word " * 100 + "see https://x.example/a on 01/02/2024")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    (r,) = textual.fnt07_templates(spark, str(tmp_path)).collect()
+    assert r.template == r.subject_template == "word " * 100 + "see {url} on {date}"
