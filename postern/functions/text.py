@@ -33,10 +33,10 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: (F.length(t) > 1) & (F.length(t) < 40))
 
 
-def shingles(words: Column, size: int = 3, most: int = 4000) -> Column:
-    """Distinct runs of size tokens, at most ``most``; fewer tokens make one shingle."""
+def shingles(words: Column, size: int = 3, most: int | None = 4000) -> Column:
+    """Distinct runs of size tokens, at most ``most`` (None: all); fewer tokens make one shingle."""
     runs = F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.array_join(F.slice(words, i + 1, size), " "))
-    return F.when(F.size(words) == 0, F.array().cast("array<string>")).when(F.size(words) < size, F.array(F.array_join(words, " "))).otherwise(F.slice(F.array_distinct(runs), 1, most))
+    return F.when(F.size(words) == 0, F.array().cast("array<string>")).when(F.size(words) < size, F.array(F.array_join(words, " "))).otherwise(F.array_distinct(runs) if most is None else F.slice(F.array_distinct(runs), 1, most))
 
 
 def templatize(c: Column, with_hex: bool = True) -> Column:

@@ -105,7 +105,7 @@ def fnh02_fnv(spark, d):
 
 def sketches(spark: SparkSession, d: str) -> DataFrame:
     words = t(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("w"))
-    features = words.select("doc_id", text.shingles(F.col("w")).alias("s"))
+    features = words.select("doc_id", text.shingles(F.col("w"), most=None).alias("s"))
     return features.select("doc_id", hashing.minhash(F.col("s")).alias("sketch"))
 
 
@@ -117,7 +117,7 @@ def fnh05_minhash_bands(spark, d):
 @query()
 def fnh08_simhash(spark, d):
     words = t(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("w"))
-    return words.select("doc_id", hashing.simhash(text.shingles(F.col("w"))).alias("simhash"))
+    return words.select("doc_id", hashing.simhash(text.shingles(F.col("w"), most=None)).alias("simhash"))
 
 
 @query("SELECT source, 'CL-' || upper(substr(sha256(string_agg(CAST(doc_id AS VARCHAR), '|' ORDER BY CAST(doc_id AS VARCHAR))), 1, 8)) AS name FROM documents GROUP BY source")

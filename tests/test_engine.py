@@ -221,3 +221,11 @@ def test_templates_of_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, "word " * 100 + "see https://x.example/a on 01/02/2024")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     (r,) = textual.fnt07_templates(spark, str(tmp_path)).collect()
     assert r.template == r.subject_template == "word " * 100 + "see {url} on {date}"
+
+
+def test_sketches_of_whole_texts(spark, tmp_path):
+    head = " ".join(f"w{i}" for i in range(4100))
+    rows = [(k, head + "".join(f" {name}{i}" for i in range(4000))) for k, name in ((1, "x"), (2, "y"))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert len({tuple(r.sketch) for r in textual.sketches(spark, str(tmp_path)).collect()}) == 2
+    assert len({r.simhash for r in textual.fnh08_simhash(spark, str(tmp_path)).collect()}) == 2
