@@ -36,7 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces, scores and digests of what the mix holds."""
+    """Pieces (ids of the n best), scores and digests of what the mix holds."""
     return op8_sentencepiece.encode(docs)
 
 

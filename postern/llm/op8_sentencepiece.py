@@ -3,7 +3,7 @@
 See unigram.py for the lattice: forward Viterbi scores are the exact heuristic of a backward A* search over each
 chunk's lattice.  The n best segmentations of a text are the n best choices of one segmentation for each chunk; they
 differ from the best in the n - 1 chunks with the smallest losses at most, so the losses are merged by a queue over
-these alone.  The ids are decoded again and held against the text.
+these alone.  The ids of all n are returned; those of the best are decoded again and held against the text.
 
 Defined results: null and empty texts have no pieces, score 0 and the one segmentation of nothing; of equal scores the
 order is that of unigram.py within a chunk, and the earlier chunk changes first; texts are encoded whole; null ids
@@ -16,13 +16,14 @@ import heapq
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C, unigram
 
 N_BEST = 4
-SCHEMA = "doc_id long, n_tokens long, score double, ids_sha256 string, n_best array<double>, round_trip boolean"
+SCHEMA = "doc_id long, n_tokens long, score double, ids_sha256 string, n_best array<double>, round_trip boolean, ids array<array<int>>"
 
 
 Entry = tuple[float, bytes, tuple[float, ...]]  # best score, best ids, losses of the next segmentations
@@ -97,29 +98,80 @@ def n_best_ids(lattice: unigram.Lattice, chunks: list[str], picks: tuple, n: int
     return out
 
 
+def choices(lattice: unigram.Lattice, chunk: str, n: int) -> list[bytes]:
+    """The ids of a chunk's n best segmentations, in the order of its losses; kept in a bounded table."""
+    got = lattice.paths.get(chunk)
+    if got is None:
+        each = [lattice.n_best(part, n) for part in lattice.parts(chunk)]
+        if len(each) == 1:
+            got = [array("i", ids).tobytes() for _, ids in each[0]]
+        else:
+            merged = merge([tuple([found[0][0] - s for s, _ in found[1:]]) for found in each], n)
+            got = [b"".join([array("i", found[chosen.get(at, 0)][1]).tobytes() for at, found in enumerate(each)]) for chosen in (dict(picks) for _, picks in merged)]
+        if len(lattice.paths) >= unigram.MOST_PATHS:
+            lattice.paths.clear()
+        if len(chunk) < 1000:
+            lattice.paths[chunk] = got
+    return got
+
+
+def ids_of(lattice: unigram.Lattice, chunks: list[str], best: list[tuple[float, tuple]], n: int) -> list[bytes]:
+    """The ids of a text's n best segmentations; only picked chunks are searched again."""
+    first = [lattice.best[c][1] for c in chunks]
+    out = []
+    for _, picks in best:
+        own = first.copy()
+        for at, choice in picks:
+            own[at] = choices(lattice, chunks[at], n)[choice]
+        out.append(b"".join(own))
+    return out
+
+
+def _nested(rows: list[list[bytes]]) -> pa.Array:
+    """Lists of lists of 32-bit ids."""
+    outer = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+    inner = np.concatenate(([0], np.cumsum([len(x) // 4 for r in rows for x in r]))).astype(np.int32)
+    flat = pa.array(np.frombuffer(b"".join([x for r in rows for x in r]), np.int32))
+    return pa.ListArray.from_arrays(pa.array(outer), pa.ListArray.from_arrays(pa.array(inner), flat))
+
+
 def encode(docs: DataFrame, n: int = N_BEST, model: str = unigram.MODEL) -> DataFrame:
     """One row for each row of docs: the best segmentation's size, score and digest of its ids (little-endian 32-bit),
-    the scores of the n best, and whether decoding the ids gives the text."""
+    the scores of the n best, whether decoding the ids gives the text, and the ids of the n best."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = unigram.lattice(model)
-        schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("score", pa.float64()), ("ids_sha256", pa.string()), ("n_best", pa.list_(pa.float64())), ("round_trip", pa.bool_())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("score", pa.float64()), ("ids_sha256", pa.string()), ("n_best", pa.list_(pa.float64())), ("round_trip", pa.bool_()), ("ids", pa.list_(pa.list_(pa.int32())))])
         for batch in C.slices(batches, "text", 2 << 20):
             texts = [text or "" for text in batch.column("text").to_pylist()]
             chunks = [lattice.chunk.findall(lattice.normal(text)) for text in texts]
             learn(lattice, set().union(*chunks), n)
-            rows = []
+            rows, every = [], []
             for doc, text, own in zip(batch.column("doc_id").to_pylist(), texts, chunks):
                 ids, score, best = combine(lattice, own, n)
+                every.append(ids_of(lattice, own, best, n))
                 rows.append((doc, len(ids), score, hashlib.sha256(ids.tobytes()).hexdigest(), [score - loss for loss, _ in best], lattice.decode(ids) == text))
             if rows:
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                yield pa.record_batch([*[pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], _nested(every)], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+def decode(rows: DataFrame, model: str = unigram.MODEL) -> DataFrame:
+    """doc_id, text of rows with doc_id and ids (one segmentation each)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = unigram.lattice(model)
+        for batch in batches:
+            texts = [lattice.decode(ids or []) for ids in batch.column("ids").to_pylist()]
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "text": pa.array(texts, pa.string())})
+
+    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(C.table(spark, sf_dir, "documents"))
+    """Sizes, scores and digests of what encode returns."""
+    return encode(C.table(spark, sf_dir, "documents")).drop("ids")
 
 
 QUERIES = {"op8_sentencepiece": op8_sentencepiece}

@@ -22,6 +22,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN = 10.0
 MOST_KEPT = 400_000
+MOST_PATHS = 20_000
 
 
 class Lattice:
@@ -44,6 +45,7 @@ class Lattice:
         self.counts: dict[str, tuple[float, int]] = {}
         self.best: dict[str, tuple] = {}
         self.before: dict[str, tuple] = {}
+        self.paths: dict[str, list[bytes]] = {}
 
     @classmethod
     def load(cls, path: str = MODEL) -> Lattice:

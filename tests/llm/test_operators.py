@@ -120,6 +120,21 @@ def test_op4_and_op8_agree(spark, table, empty):
     assert op8_sentencepiece.encode(empty).count() == 0 and op4_token_counts.count_tokens(empty).count() == 0
 
 
+def test_op8_ids_of_the_n_best(spark, table, lattice):
+    rows = op8_sentencepiece.encode(table)
+    texts = {i: t or "" for i, t, _ in ROWS}
+    score = {i: s for i, s in lattice.pieces.values()}
+    for r in rows.collect():
+        assert len(r.ids) == len(r.n_best) and len(r.ids[0]) == r.n_tokens and len(set(map(tuple, r.ids))) == len(r.ids)
+        assert hashlib.sha256(np.array(r.ids[0], "<i4").tobytes()).hexdigest() == r.ids_sha256
+        assert all(lattice.decode(ids) == texts[r.doc_id] for ids in r.ids)
+        for ids, total in zip(r.ids, r.n_best):
+            if all(i in score for i in ids):
+                assert math.fsum(score[i] for i in ids) == pytest.approx(total)
+    second = rows.filter("size(ids) > 1").select("doc_id", F.col("ids")[1].alias("ids"))
+    assert second.count() > 3 and all(r.text == texts[r.doc_id] for r in op8_sentencepiece.decode(second).collect())
+
+
 def every_path(lattice, chunk):
     into = lattice.edges(chunk)
 
