@@ -120,6 +120,14 @@ def join22_blocked_pairs_topk(spark, d):
     return joins.blocked_pairs(t(spark, d, "lineitem"), "l_orderkey", "l_partkey", fan_out=40, top=5)
 
 
+@query("""WITH k AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS key FROM lineitem), ok AS (SELECT key FROM k GROUP BY key HAVING count(*) BETWEEN 2 AND 200),
+p AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM k x JOIN k y ON x.key = y.key AND x.id < y.id JOIN ok ON ok.key = x.key GROUP BY ALL)
+SELECT a, b, shared FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) <= 300""")
+def join22_blocked_pairs(spark, d):
+    """With the operator's own fan_out and top."""
+    return joins.blocked_pairs(t(spark, d, "lineitem"), "l_orderkey", "l_partkey")
+
+
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM events")
 def join32_prior_sightings(spark, d):
     return t(spark, d, "events").select("event_id", F.count("*").over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)).alias("seen"))

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from postern import registry
 from postern.functions import hashing, net, text
 from postern.operators import correlate, graph, intel, joins, rules, similarity
 from postern.plans import textual
@@ -229,3 +230,9 @@ def test_sketches_of_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert len({tuple(r.sketch) for r in textual.sketches(spark, str(tmp_path)).collect()}) == 2
     assert len({r.simhash for r in textual.fnh08_simhash(spark, str(tmp_path)).collect()}) == 2
+
+
+def test_blocked_pairs_of_common_parts(spark, tmp_path):
+    spark.createDataFrame([(i, 1) for i in range(60)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = registry.QUERIES["join22_blocked_pairs"](spark, str(tmp_path)).collect()
+    assert {(r.a, r.b, r.shared) for r in got} == {(a, b, 1) for a in range(60) for b in range(a + 1, 60)}
