@@ -59,6 +59,13 @@ def salt(*cols: Column | str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(SALTS)).cast("int")
 
 
+def n_words(text: Column, gap: str) -> Column:
+    """The number of words of a text (not null) between runs of ``gap`` (a pattern that ends in +)."""
+    parts = F.split(text, gap, -1)
+    ends = F.when(F.get(parts, F.lit(0)) == "", 1).otherwise(0) + F.when(F.element_at(parts, -1) == "", 1).otherwise(0)
+    return F.greatest(F.size(parts) - ends, F.lit(0)).cast("long")
+
+
 def hot_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
     """Join rows to a table with at most one row for each key, where single keys may hold a large share of left.
 

@@ -1,11 +1,12 @@
 """License scans by a positional rare-token index, with DataFrame functions only.
 
 The templates are tokenized once into an index: words, their IDF over the templates, and postings (template,
-position).  A file that holds the rarest word of any mandatory phrase is tokenized; its ``rarest`` distinct licence
-words of highest IDF, and always the rarest words of mandatory phrases, are looked up; a word at position p and a
-posting at q propose that the template starts at p - q.  A proposed place is kept where every mandatory word stands
-at its relative position and the IDF share of matching words is ``share`` or more.  A word travels with the words
-around it, as many as the longest template has, so that no text is shuffled; the constant index alone is broadcast.
+position).  A text that cannot hold any mandatory phrase (none of their longest words, or no phrase with any separators
+between its words) has no label; any other is tokenized.  Its ``rarest`` distinct licence words of highest IDF, and
+always the rarest words of mandatory phrases, are looked up; a word at position p and a posting at q propose that the
+template starts at p - q.  A proposed place is kept where every mandatory word stands at its relative position and the
+IDF share of matching words is ``share`` or more.  All of it is an expression over one row: no text is shuffled or
+written, the index is a constant of the plan, and a row's proposals are numbers, a few for each looked-up word.
 
 Base phrases are templates of their own whose every word is mandatory, so that all their places count.
 
@@ -15,6 +16,7 @@ table gives an empty one; columns other than doc_id and text are not looked at.
 """
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -23,9 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from . import common as C
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words of a text whose A-Z are not lowered yet, and of one whose are.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A word of a lowered text, and what stands between two words: of a lowered text, and of one whose A-Z are as they were.
+#: A class of ranges is matched several times as fast as its complement.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+RAW_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Templates and starts share a number: template * SPAN + start.
+SPAN = 1 << 40
 
 #: Phrase and label.
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
@@ -74,49 +80,69 @@ class Index:
         self.ranked = sorted(self.idf, key=lambda w: (-self.idf[w], w))
 
 
-def _postings(spark: SparkSession, index: Index) -> DataFrame:
-    """A row for each word of each template, at each of its positions; constant and small."""
-    out = []
+def _constant(index: Index) -> tuple[Column, Column]:
+    """The postings (word -> places, each template * SPAN + position) and the items, as constants of the plan."""
+    postings: dict[str, list[int]] = {}
+    items = []
     for t, (label, words, spans, is_base) in enumerate(index.items):
-        must = [any(at <= i < at + len(p) for at, p in spans) for i in range(len(words))]
-        out += [(w, q, t, label, is_base, words, [index.idf[x] for x in words], must) for q, w in enumerate(words)]
-    return spark.createDataFrame(out, "w string, q int, template int, label string, is_base boolean, words array<string>, weights array<double>, must array<boolean>")
+        for q, w in enumerate(words):
+            postings.setdefault(w, []).append(t * SPAN + q)
+        total = 0.0
+        for w in words:
+            total += index.idf[w]
+        must = [F.struct(F.lit(at + i).alias("i"), F.lit(w).alias("w")) for at, p in spans for i, w in enumerate(p)]
+        items.append(F.struct(
+            F.lit(label).alias("label"), F.lit(is_base).alias("is_base"), F.array(*must).alias("must"), F.array(*[F.lit(w) for w in words]).alias("words"),
+            F.array(*[F.lit(index.idf[w]) for w in words]).alias("weights"), F.lit(total).alias("total")))
+    flat = [x for w, places in sorted(postings.items()) for x in (F.lit(w), F.array(*[F.lit(p).cast("long") for p in places]))]
+    return F.create_map(*flat), F.array(*items)
+
+
+def _may_hold(low: Column, index: Index) -> Column:
+    """Whether a lowered text can hold any mandatory phrase: its longest word somewhere, then the words in a row.
+
+    No text without this can have a label; what passes is tokenized and looked up in the index.
+    """
+    phrases = sorted({" ".join(p) for _, _, spans, _ in index.items for _, p in spans})
+    # a phrase that holds another one is found with it
+    phrases = [p for p in phrases if not any(q != p and f" {q} " in f" {p} " for q in phrases)]
+    rare = sorted({max(p.split(), key=lambda w: (len(w), w)) for p in phrases})
+    some = functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in rare])
+    return some & low.rlike("|".join(GAP.join(map(re.escape, p.split())) for p in phrases))
 
 
 def scan(docs: DataFrame, templates: list = TEMPLATES, base: list = BASE, rarest: int = 8, share: float = 0.6) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score; one row for each row of docs."""
-    spark = docs.sparkSession
     index = Index(templates, base)
+    postings, items = _constant(index)
     reach = max(len(words) for _, words, _, _ in index.items)
     text = F.coalesce(F.col("text"), F.lit(""))
-    some = text.rlike("(?i)" + "|".join(map(re.escape, index.anchors)))
-    words = F.when(some, F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0)))
-    rows = docs.select("doc_id", F.regexp_count(text, F.lit(RAW_WORD)).cast("long").alias("n_words"), words.alias("_words"))
-    hits = F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("w"), i.alias("p"))), lambda h: h["w"].isin(index.ranked))
-    rows = rows.withColumn("_hits", hits)
+    rows = docs.select("doc_id", text.alias("_text"), F.lower(text).alias("_low"), C.n_words(text, RAW_GAP).alias("n_words"))
+    words = F.when(_may_hold(F.col("_low"), index), F.array_remove(F.split(F.translate("_text", UPPER, LOWER), GAP, -1), ""))
+    rows = rows.select("doc_id", "n_words", F.coalesce(words, F.array().cast("array<string>")).alias("_words"))
+    rows = rows.withColumn("_hits", F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("w"), i.cast("long").alias("p"))), lambda h: h["w"].isin(index.ranked)))
     ranked, anchors = (F.array(*[F.lit(w) for w in x]) for x in (index.ranked, index.anchors))
-    own = F.transform("_hits", lambda h: h["w"])
-    rows = rows.withColumn("looked_up", F.array_union(F.slice(F.array_intersect(ranked, own), 1, rarest), F.array_intersect(anchors, own)))
-    chosen = F.filter("_hits", lambda h: F.array_contains(F.col("looked_up"), h["w"]))
-    low = lambda h: F.greatest(h["p"] - F.lit(reach), F.lit(0))
-    windows = F.transform(chosen, lambda h: F.struct(h["w"].alias("w"), h["p"].alias("p"), low(h).alias("low"), F.slice(F.col("_words"), low(h) + 1, F.lit(2 * reach + 1)).alias("near")))
-    rows = C.cut(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", "looked_up", windows.alias("windows")), "licence_words")
-    places = rows.select("row", F.explode("windows").alias("h")).select("row", "h.*").join(F.broadcast(_postings(spark, index)), "w")
-    places = places.withColumn("start", F.col("p") - F.col("q")).withColumn("equal", F.transform("words", lambda w, j: F.coalesce(F.get(F.col("near"), F.col("start") + j - F.col("low")) == w, F.lit(False))))
-    places = places.filter(~F.exists(F.zip_with("equal", "must", lambda e, m: m & ~e), lambda x: x))
-    total = F.aggregate("weights", F.lit(0.0), lambda a, x: a + x)
-    got = F.aggregate(F.zip_with("equal", "weights", lambda e, x: F.when(e, x).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
-    places = places.select("row", "template", "start", "label", "is_base", (got / total).alias("share")).filter(F.col("is_base") | (F.col("share") >= share))
-    places = places.groupBy("row", "template", "start").agg(F.first("label").alias("label"), F.first("is_base").alias("is_base"), F.max("share").alias("share"))
-    base_only = F.when(F.col("is_base"), F.col("start"))
-    per_row = places.groupBy("row").agg(
-        F.count(base_only).alias("n_base"), F.min(base_only).cast("long").alias("first_word"), F.max(base_only).cast("long").alias("last_word"),
-        F.collect_set(F.when(F.col("is_base"), F.col("label"))).alias("own"), F.collect_set("label").alias("every"),
-        F.max(F.when(F.col("is_base"), F.lit(0.5)).otherwise(F.col("share"))).alias("score"))
-    labels = lambda c: F.coalesce(F.array_join(F.array_sort(c), ","), F.lit(""))
-    return rows.select("row", "doc_id", "n_words").join(per_row, "row", "left").select(
-        "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
-        labels("own").alias("base_labels"), labels("every").alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    own = F.array_distinct(F.transform("_hits", lambda h: h["w"]))
+    rows = rows.withColumn("_own", own)
+    rows = rows.withColumn("_chosen", F.array_union(F.slice(F.array_intersect(ranked, "_own"), 1, rarest), F.array_intersect(anchors, "_own")))
+    # a word at p and a posting at q propose that the template starts at p - q; a place is template * SPAN + start + reach
+    looked_up = F.filter("_hits", lambda h: F.array_contains(F.col("_chosen"), h["w"]))
+    proposed = F.transform(looked_up, lambda h: F.transform(F.element_at(postings, h["w"]), lambda x: F.lit(SPAN) * F.floor(x / SPAN) + h["p"] - x % SPAN + reach))
+    item = lambda x: F.get(items, F.floor(x / SPAN).cast("int"))
+    word = lambda x, i: F.get(F.col("_words"), (x % SPAN - reach + i).cast("int"))
+    whole = lambda x: F.forall(item(x)["must"], lambda m: F.coalesce(word(x, m["i"]) == m["w"], F.lit(False)))
+    rows = rows.withColumn("_places", F.filter(F.array_distinct(F.flatten(proposed)), whole))
+    equal = lambda x: F.transform(item(x)["words"], lambda w, i: F.coalesce(word(x, i) == w, F.lit(False)))
+    got = lambda x: F.aggregate(F.zip_with(equal(x), item(x)["weights"], lambda e, v: F.when(e, v).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, v: a + v)
+    places = F.transform("_places", lambda x: F.struct((x % SPAN - reach).alias("start"), item(x)["label"].alias("label"), item(x)["is_base"].alias("is_base"), (got(x) / item(x)["total"]).alias("share")))
+    rows = rows.withColumn("_all", F.filter(places, lambda x: x["is_base"] | (x["share"] >= share)))
+    rows = rows.withColumn("_base", F.filter("_all", lambda x: x["is_base"]))
+    starts = F.transform("_base", lambda x: x["start"])
+    labels = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda x: x["label"]))), ",")
+    score = F.array_max(F.transform("_all", lambda x: F.when(x["is_base"], F.lit(0.5)).otherwise(x["share"])))
+    return rows.select(
+        "doc_id", "n_words", F.size("_base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels("_base").alias("base_labels"), labels("_all").alias("labels"), F.coalesce(score, F.lit(0.0)).alias("score"))
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
