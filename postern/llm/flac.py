@@ -16,6 +16,8 @@ import struct
 import numpy as np
 
 BLOCK, ORDER, PRECISION, GROUP = 4096, 8, 10, 384
+#: Samples that are encoded at once; the arrays of so many stay in a core's cache.
+SAMPLES = 1 << 17
 FIXED = {0: [], 1: [1], 2: [2, -1], 3: [3, -3, 1], 4: [4, -6, 4, -1]}
 
 
@@ -69,21 +71,12 @@ def _utf8(n: int) -> bytes:
     return bytes([(~first << 1) & 0xFF | n, *reversed(out)])
 
 
-def _segment_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(values) + 1, np.int64)
-    np.cumsum(values, out=total[1:])
-    return total[at[1:]] - total[at[:-1]]
-
-
-def _predictors(x: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Quantised linear predictors (frames, ORDER) and shifts, by autocorrelation and Levinson's recursion."""
-    frames = len(at) - 1
-    r = np.empty((frames, ORDER + 1))
-    for lag in range(ORDER + 1):
-        product = x * x if not lag else np.concatenate((np.zeros(min(lag, len(x)), np.int32), x[lag:] * x[: max(0, len(x) - lag)]))
-        for first in range(lag):  # these reach back into the frame before
-            product[(at[:-1] + first)[at[:-1] + first < at[1:]]] = 0
-        r[:, lag] = _segment_sums(product, at)
+def _predictors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Quantised linear predictors (frames, ORDER) and shifts of the rows of x, by autocorrelation and Levinson's recursion."""
+    frames, wide = x.shape
+    r = np.zeros((frames, ORDER + 1))
+    for lag in range(min(ORDER + 1, wide)):  # below 2^31: 4096 products of 8-bit samples
+        r[:, lag] = np.einsum("ij,ij->i", x[:, lag:], x[:, : wide - lag])
     r[:, 0] = r[:, 0] * (1 + 1e-9) + 1
     a = np.zeros((frames, ORDER))
     error = r[:, 0].copy()
@@ -94,105 +87,95 @@ def _predictors(x: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[np.n
         a[:, :i] = old - k[:, None] * old[:, ::-1]
         error *= 1 - k * k
     top = np.abs(a).max(1)
-    shift = np.clip(PRECISION - 1 - np.ceil(np.log2(np.maximum(top, 1e-9) * 1.002)), 0, 15).astype(np.int64)
+    shift = np.clip(PRECISION - 1 - np.ceil(np.log2(np.maximum(top, 1e-9) * 1.002)), 0, 15).astype(np.int32)
     limit = 1 << (PRECISION - 1)
-    return np.clip(np.rint(a * (1 << shift)[:, None]), -limit, limit - 1).astype(np.int64), shift
-
-
-def _rice(u: np.ndarray, at: np.ndarray, frame: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bits of the codes of each frame, and the parameter (0 to 7), which follows from the mean."""
-    n = np.diff(at)
-    mean = _segment_sums(u, at) / n
-    k = np.clip(np.floor(np.log2(np.maximum(mean * 0.85, 1e-9))) + 0, 0, 7).astype(np.int32)
-    return _segment_sums(u >> k[frame], at) + n * (k + 1), k
-
-
-def encode_frames(x: np.ndarray, at: np.ndarray, number: np.ndarray) -> list[bytes]:
-    """Frames of the 8-bit samples x[at[i] : at[i + 1]]."""
-    n = np.diff(at)
-    frames = len(n)
-    x = x.astype(np.int32)
-    frame = np.repeat(np.arange(frames, dtype=np.int32), n)
-    inside = np.arange(len(x), dtype=np.int32) - at[:-1].astype(np.int32)[frame]
-    before = lambda j: np.concatenate((np.zeros(min(j, len(x)), np.int32), x[: max(0, len(x) - j)]))
-    coefs, shift = _predictors(x, at, inside)
-    prediction = np.zeros(len(x), np.int32)
+    return np.clip(np.rint(a * (1 << shift)[:, None]), -limit, limit - 1).astype(np.int32), shift
+
+
+def _candidates(x: np.ndarray, coefs: np.ndarray, shift: np.ndarray):
+    """(order, residuals) of each predictor, one after another; a row's first ``order`` values mean nothing."""
+    yield 0, x
+    e = x.copy()
+    for order in (1, 2):
+        e[:, order:] = e[:, order:] - e[:, order - 1: -1]
+        yield order, e
+    total, term = np.zeros_like(x), np.empty_like(x)
     for j in range(ORDER):  # below 2^31: 10-bit taps, 8-bit samples
-        term = coefs[:, j].astype(np.int32)[frame]
-        term[j + 1:] *= x[: len(x) - j - 1]
-        prediction[j + 1:] += term[j + 1:]
-    prediction >>= shift.astype(np.int32)[frame]
-    choices = [(0, x), (1, x - before(1)), (2, x - 2 * before(1) + before(2)), (ORDER, x - prediction)]
-    bits = np.empty((len(choices) + 1, frames), np.int64)
-    params = np.empty((len(choices), frames), np.int32)
-    folded = []
-    for c, (order, e) in enumerate(choices):
+        np.multiply(x[:, : x.shape[1] - j - 1], coefs[:, j: j + 1], out=term[:, j + 1:])
+        total[:, j + 1:] += term[:, j + 1:]
+    total >>= shift[:, None]
+    yield ORDER, np.subtract(x, total, out=total)
+
+
+def encode_frames(x: np.ndarray, n: np.ndarray, number: np.ndarray) -> list[bytes]:
+    """Frames of 8-bit samples: row i of x holds n[i] of them, then zeros."""
+    frames, wide = x.shape
+    coefs, shift = _predictors(x)
+    inside = np.arange(wide, dtype=np.int32)
+    beyond = None if (n == wide).all() else inside >= n[:, None]
+    kind, param, size_bits = np.full(frames, 4), np.zeros(frames, np.int32), 8 * n.astype(np.int64)  # verbatim
+    order_of, chosen = np.zeros(frames, np.int32), np.zeros_like(x)
+    for c, (order, e) in enumerate(_candidates(x, coefs, shift)):
         u = (e << 1) ^ (e >> 31)
-        u[inside < order] = 0
-        got, params[c] = _rice(u, at, frame)
-        bits[c] = got - order * (params[c] + 1) + 8 * order + 10 + (9 + ORDER * PRECISION if c == 3 else 0)
-        bits[c][n <= order] = 1 << 60
-        folded.append(u)
-    bits[4] = 8 * n  # verbatim
-    kind = bits.argmin(0)
-    same = np.maximum.reduceat(x, at[:-1]) == np.minimum.reduceat(x, at[:-1])
-    size_bits = np.where(same, 8, bits[kind, np.arange(frames)])
-    heads = []
-    for i, (num, size) in enumerate(zip(number.tolist(), n.tolist())):
+        u[:, :order] = 0
+        if beyond is not None:
+            u[beyond] = 0
+        codes = np.maximum(n - order, 1)
+        k = np.clip(np.floor(np.log2(np.maximum(u.sum(1) / n * 0.85, 1e-9))), 0, 7).astype(np.int32)
+        bits = (u >> k[:, None]).sum(1) + codes * (k + 1) + 8 * order + 10 + (9 + ORDER * PRECISION if c == 3 else 0)
+        better = (bits < size_bits) & (n > order)
+        kind[better], param[better], size_bits[better], order_of[better] = c, k[better], bits[better], order
+        chosen[better] = u[better]
+    same = np.ptp(x if beyond is None else np.where(beyond, x[:, :1], x), 1) == 0
+    size_bits[same] = 8
+    heads, lead = [], np.zeros(frames, np.int64)
+    for i, (num, size, flat) in enumerate(zip(number.tolist(), n.tolist(), same.tolist())):
         head = b"\xff\xf8\x70\x02" + _utf8(num) + struct.pack(">H", size - 1)
-        kind_code = 0 if same[i] else (8, 9, 10, 32 + ORDER - 1, 1)[kind[i]]
-        heads.append(head + bytes([_crc8(head), kind_code << 1]))
-    head_size = np.array([len(h) for h in heads])
-    body = (size_bits + 7) >> 3
-    total = head_size + body + 2
-    start = np.concatenate(([0], np.cumsum(total)))
-    out = np.zeros(start[-1] + 4, np.uint8)
-    pos, val, length = [], [], []
-
-    def put(p, v, width) -> None:
-        pos.append(p), val.append(v), length.append(np.broadcast_to(np.asarray(width, np.int64), p.shape))
-
-    first = 8 * (start[:-1] + head_size)  # of each subframe's content
-    plain = np.flatnonzero(~same & (kind == 4))
-    raw = np.isin(frame, plain)
-    put(first[frame[raw]] + 8 * inside[raw], x[raw] & 0xFF, 8)
-    put(first[same], x[at[:-1][same]] & 0xFF, 8)
-    for c, (order, _) in enumerate(choices):
-        mine = np.flatnonzero(~same & (kind == c))
-        if not len(mine):
+        c, order = int(kind[i]), int(order_of[i])
+        head += bytes([_crc8(head), (0 if flat else (8, 9, 10, 32 + ORDER - 1, 1)[c]) << 1])
+        if flat or c == 4:
+            heads.append(head + (x[i, : 1 if flat else size] & 0xFF).astype(np.uint8).tobytes())
             continue
-        chosen = np.zeros(frames, bool)
-        chosen[mine] = True
-        rows = chosen[frame]
-        warm = rows & (inside < order)
-        put(first[frame[warm]] + 8 * inside[warm], x[warm] & 0xFF, 8)
-        at_bit = first + 8 * order
+        field, width = int.from_bytes((x[i, :order] & 0xFF).astype(np.uint8).tobytes(), "big"), 8 * order
         if c == 3:
-            put(at_bit[mine], np.full(len(mine), PRECISION - 1), 4)
-            put(at_bit[mine] + 4, shift[mine], 5)
-            for j in range(ORDER):
-                put(at_bit[mine] + 9 + PRECISION * j, coefs[mine, j] & ((1 << PRECISION) - 1), PRECISION)
-            at_bit = at_bit + 9 + ORDER * PRECISION
-        k = params[c]
-        put(at_bit[mine], k[mine], 10)  # method 0, one partition, its parameter
-        at_bit = at_bit + 10
-        rows &= inside >= order
-        u, kk = folded[c][rows], k[frame[rows]]
-        q = u >> kk
-        width = q + 1 + kk
-        ends = np.cumsum(width)
-        begins = np.concatenate(([0], np.cumsum(n[mine] - order)))[:-1]
-        offset = np.repeat(at_bit[mine] - (ends[begins] - width[begins]), n[mine] - order)
-        put(ends - width + offset + q, (1 << kk) | (u & ((1 << kk) - 1)), kk + 1)
-    pos, val, length = np.concatenate(pos), np.concatenate(val), np.concatenate(length)
-    word = val << (24 - length - (pos & 7))
-    byte = pos >> 3
-    size = len(out)
-    for j in range(3):
-        out += np.bincount(byte + j, (word >> (16 - 8 * j)) & 0xFF, size)[:size].astype(np.uint8)
-    flat = out[: start[-1]]
+            field, width = field << 9 | (PRECISION - 1) << 5 | int(shift[i]), width + 9
+            for tap in coefs[i].tolist():
+                field, width = field << PRECISION | tap & ((1 << PRECISION) - 1), width + PRECISION
+        field, width = field << 10 | int(param[i]), width + 10  # method 0, one partition, its parameter
+        lead[i] = 8 * len(head) + width
+        fill = -width % 8
+        heads.append(head + (field << fill).to_bytes((width + fill) // 8, "big"))
+    whole = same | (kind == 4)
+    head_size = np.array([len(h) for h in heads])
+    # the residuals, as codes of up to 8 bits behind q zeros; rows that have none write nothing
+    width = chosen >> param[:, None]
+    value = (chosen & ((1 << param) - 1)[:, None]) | (1 << param)[:, None]
+    value[inside < order_of[:, None]] = 0
+    width += param[:, None] + 1
+    width[inside < order_of[:, None]] = 0
+    if beyond is not None:
+        value[beyond], width[beyond] = 0, 0
+    value[whole], width[whole] = 0, 0
+    ends = np.cumsum(width, 1)
+    total = np.where(whole, head_size, (lead + ends[:, -1] + 7) >> 3) + 2
+    start = np.concatenate(([0], np.cumsum(total)))
+    out = np.zeros(start[-1] + 2, np.uint8)
     for i, head in enumerate(heads):
-        flat[start[i]: start[i] + len(head)] = np.frombuffer(head, np.uint8)
+        out[start[i]: start[i] + len(head)] = np.frombuffer(head, np.uint8)
+    length = (param + 1)[:, None]
+    pos = ends + (8 * start[:-1] + lead)[:, None].astype(np.int32) - length  # of a code's set bit
+    pos[whole] = 0
+    word = (value << (16 - length - (pos & 7))).ravel()
+    byte = (pos >> 3).ravel()
+    live = word != 0
+    if not live.all():
+        word, byte = word[live], byte[live]
+    if len(byte):
+        first = np.flatnonzero(np.concatenate(([True], byte[1:] != byte[:-1])))
+        word, byte = np.bitwise_or.reduceat(word, first), byte[first]
+        out[byte] |= (word >> 8).astype(np.uint8)
+        out[byte + 1] |= (word & 0xFF).astype(np.uint8)
+    flat = out[: start[-1]]
     crc = _crc16(flat, start[:-1], total - 2)
     flat[start[1:] - 2], flat[start[1:] - 1] = crc >> 8, crc & 0xFF
     raw_bytes = flat.tobytes()
@@ -201,14 +184,19 @@ def encode_frames(x: np.ndarray, at: np.ndarray, number: np.ndarray) -> list[byt
 
 def encode(payloads: list[np.ndarray], rate: int = 8000) -> list[bytes]:
     """A FLAC stream for each payload of unsigned bytes (not empty), byte b as the sample b - 128."""
-    parts: list[list[bytes]] = [[] for _ in payloads]
-    todo = [(i, b, min(b + BLOCK, len(p))) for i, p in enumerate(payloads) for b in range(0, len(p), BLOCK)]
-    for g in range(0, len(todo), GROUP):
-        group = todo[g: g + GROUP]
-        x = np.concatenate([payloads[i][a:b] for i, a, b in group]).astype(np.int16) - 128
-        at = np.concatenate(([0], np.cumsum([b - a for _, a, b in group])))
-        for (i, _, _), frame in zip(group, encode_frames(x, at, np.array([a // BLOCK for _, a, _ in group]))):
-            parts[i].append(frame)
+    parts: list[list[bytes]] = [[b""] * -(-len(p) // BLOCK) for p in payloads]
+    todo = sorted(((min(BLOCK, len(p) - b), i, b) for i, p in enumerate(payloads) for b in range(0, len(p), BLOCK)), reverse=True)
+    first = 0
+    while first < len(todo):  # blocks of like size together
+        wide = todo[first][0]
+        group = todo[first: first + max(1, SAMPLES // wide)]
+        first += len(group)
+        x = np.zeros((len(group), wide), np.int32)
+        for row, (n, i, b) in enumerate(group):
+            x[row, :n] = payloads[i][b: b + n]
+            x[row, :n] -= 128
+        for (_, i, b), frame in zip(group, encode_frames(x, np.array([n for n, _, _ in group]), np.array([b // BLOCK for _, _, b in group]))):
+            parts[i][b // BLOCK] = frame
     out = []
     for payload, frames in zip(payloads, parts):
         sizes = [len(f) for f in frames]
@@ -272,11 +260,10 @@ class _Bits:
         b = np.concatenate((raw, np.zeros(8, np.uint8)))
         w = b.astype(np.uint32)
         self.win = (w[:-3] << np.uint32(24)) | (w[1:-2] << np.uint32(16)) | (w[2:-1] << np.uint32(8)) | w[3:]
-        bits = np.unpackbits(b)
-        ones = np.flatnonzero(bits).astype(np.int32)
-        self.end = len(bits) - 1
-        gaps = np.diff(np.concatenate((np.array([-1], np.int32), ones)))
-        self.next = np.concatenate((np.repeat(ones, gaps), np.full(len(bits) - (int(ones[-1]) + 1 if len(ones) else 0), self.end, np.int32)))
+        self.end = 8 * len(b) - 1
+        at = np.arange(self.end + 1, dtype=np.int32)
+        at[np.unpackbits(b) == 0] = self.end
+        self.next = np.ascontiguousarray(np.minimum.accumulate(at[::-1])[::-1])
 
     def get(self, pos: np.ndarray, width: np.ndarray | int) -> np.ndarray:
         pos = np.minimum(pos, self.end - 32)
@@ -294,35 +281,32 @@ def _signed(v, width):
     return v - ((v >> (width - 1)) << width)
 
 
-def _codes(bits: _Bits, pos: np.ndarray, k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """n[i] Rice codes with parameter k[i] from pos[i] on: residuals of all in one array, and the ends."""
+def _codes(bits: _Bits, pos: np.ndarray, k: np.ndarray, n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """n[i] Rice codes with parameter k[i] from pos[i] on: the residuals of each, and the ends."""
     order = np.argsort(-n, kind="stable")
-    p, kk, nn = pos[order].astype(np.int64), k[order], n[order]
-    steps = int(nn[0]) if len(nn) else 0
-    active = np.searchsorted(-nn, -np.arange(steps), side="left")
-    ends = np.empty((steps, len(nn)), np.int32)
-    jump = kk + 1
-    nxt = bits.next
-    limit = bits.end
+    k, n = k[order], n[order]
+    p, jump = pos[order].astype(np.int64), (k + 1).astype(np.int64)
+    begin = p.copy()
+    steps = int(n[0]) if len(n) else 0
+    active = np.searchsorted(-n, -np.arange(steps), side="left")
+    ends = np.zeros((steps, len(n)), np.int32)
     for t, a in enumerate(active.tolist()):
-        one = nxt[p[:a]]
-        ends[t, :a] = one
+        one = ends[t, :a]
+        bits.next.take(p[:a], out=one, mode="clip")  # what is cut short stays at the end, and is seen below
         np.add(one, jump[:a], out=p[:a])
-        if not t & 63 and int(p[:a].max()) > limit:
-            raise Damaged("residuals cut short")
-        np.minimum(p[:a], limit, out=p[:a])
+    if len(p) and int(p.max()) > bits.end:
+        raise Damaged("residuals cut short")
+    one = np.ascontiguousarray(ends.T)
+    q = np.empty_like(one)
+    q[:, 1:] = one[:, 1:] - one[:, :-1] - jump[:, None].astype(np.int32)
+    q[:, :1] = one[:, :1] - begin[:, None].astype(np.int32)
+    wide = k[:, None].astype(np.int32)
+    at = np.minimum(one + 1, bits.end - 32)
+    low = (bits.win.take(at >> 3) << (at & 7).astype(np.uint32)) >> (32 - np.maximum(wide, 1)).astype(np.uint32)
+    u = (q << wide) | np.where(wide > 0, low, 0).astype(np.int32) if int(k.max(initial=0)) < 24 else (q.astype(np.int64) << wide) | bits.get(one + 1, k[:, None])
+    values = ((u >> 1) ^ -(u & 1)).astype(np.int64)
     back = np.argsort(order)
-    column = np.repeat(back, n)
-    step = np.arange(len(column)) - np.repeat(np.cumsum(n) - n, n)
-    one = ends[step, column].astype(np.int64)
-    kk = np.repeat(k, n)
-    begin = np.empty(len(one), np.int64)
-    begin[1:] = one[:-1] + 1 + kk[:-1]
-    first = (np.cumsum(n) - n)[n > 0]
-    begin[first] = pos[n > 0]
-    u = ((one - begin) << kk) | bits.get(one + 1, kk)
-    stop = p[back]
-    return (u >> 1) ^ -(u & 1), np.where(n > 0, stop, pos)
+    return [values[i, : n[i]] for i in back.tolist()], p[back]
 
 
 def _residuals(bits: _Bits, pos: list[int], size: list[int], order: list[int]) -> tuple[list[np.ndarray], list[int]]:
@@ -355,7 +339,7 @@ def _residuals(bits: _Bits, pos: list[int], size: list[int], order: list[int]) -
         if coded:
             sizes = np.array([n[i] for i, _ in coded])
             values, ends = _codes(bits, np.array([at[i] for i, _ in coded]), np.array([k for _, k in coded]), sizes)
-            for (i, _), piece, end in zip(coded, np.split(values, np.cumsum(sizes)[:-1]), ends.tolist()):
+            for (i, _), piece, end in zip(coded, values, ends.tolist()):
                 out[i].append(piece)
                 at[i] = end
         part += 1
