@@ -15,14 +15,20 @@ from __future__ import annotations
 import bisect
 import math
 import re
+from array import array
 
 import ahocorasick
+import numpy as np
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN = 10.0
 MOST_KEPT = 400_000
 MOST_PATHS = 20_000
+#: Chunks of more characters are cut into parts where no piece can reach across.
+LONG = 64
+#: Characters of a step over many chunks.
+SQUARE = 60_000
 
 
 class Lattice:
@@ -43,9 +49,16 @@ class Lattice:
         self.longest = max(map(len, pieces), default=1)
         self.side_by_side = {p[k: k + 2] for p in pieces for k in range(len(p) - 1)}
         self.counts: dict[str, tuple[float, int]] = {}
-        self.best: dict[str, tuple] = {}
-        self.before: dict[str, tuple] = {}
-        self.paths: dict[str, list[bytes]] = {}
+        self.best: dict[str, tuple[float, bytes, float]] = {}
+        self.before: dict[str, tuple[float, bytes, float]] = {}
+        self.paths: dict[str, list[tuple[float, bytes]]] = {}
+        self.forward: Forward | None = None
+        sizes = [len(self.names[i]) for i in self.names]
+        self.name_size = np.zeros(max(self.names, default=0) + 1, np.int64)
+        self.name_size[list(self.names)] = sizes
+        self.name_at = np.zeros(len(self.name_size), np.int64)
+        self.name_at[list(self.names)] = np.cumsum(sizes) - sizes
+        self.name_bytes = np.frombuffer(b"".join(self.names.values()), np.uint8)
 
     @classmethod
     def load(cls, path: str = MODEL) -> Lattice:
@@ -77,8 +90,8 @@ class Lattice:
     def count(self, chunk: str) -> tuple[float, int]:
         """Score and number of pieces of the best path; only these two are carried."""
         got = self.counts.get(chunk)
-        if got is None and len(parts := self.parts(chunk)) > 1:
-            each = [self.count(p) for p in parts]
+        if got is None and len(units := self.units(chunk)) > 1:
+            each = [self.count(p) for p in units]
             got = self.counts[chunk] = sum([s for s, _ in each], 0.0), sum([n for _, n in each])
         if got is None:
             scores, counts = [0.0], [0]
@@ -97,59 +110,94 @@ class Lattice:
             self.counts[chunk] = got
         return got
 
-    def n_best(self, chunk: str, n: int, forward: Forward | None = None, paths: bool = True) -> list[tuple[float, list[int]]]:
-        """The n best segmentations, best first; of equal scores, that whose last pieces start first.
+    def ahead(self, chunk: str) -> list[float]:
+        """Forward Viterbi: the best score of each prefix."""
+        best = [0.0] + [-math.inf] * len(chunk)
+        unknown, done, single = self.unknown_score, 0, False
+        matches = self.find.iter(chunk) if self.pieces else iter(())
+        for last, (size, score, _) in matches:
+            while done < last:  # ends that are complete; one without a single-character piece has the unknown edge
+                done += 1
+                if not single and best[done - 1] + unknown > best[done]:
+                    best[done] = best[done - 1] + unknown
+                single = False
+            got = best[last + 1 - size] + score
+            if got > best[last + 1]:
+                best[last + 1] = got
+            single = single or size == 1
+        while done < len(chunk):
+            done += 1
+            if not single and best[done - 1] + unknown > best[done]:
+                best[done] = best[done - 1] + unknown
+            single = False
+        return best
+
+    def into(self, chunk: str, ahead: list[float], end: int) -> list[tuple[float, int, int]]:
+        """The edges into an end as (loss, start, id), the least loss first, of equal ones the first start."""
+        pieces, best = self.pieces.get, ahead[end]
+        here = []
+        for start in range(end - self.longest if end > self.longest else 0, end):
+            got = pieces(chunk[start:end])
+            if got is not None:
+                here.append((best - (ahead[start] + got[1]), start, got[0]))
+        if not here or here[-1][1] != end - 1:
+            here.append((best - (ahead[end - 1] + self.unknown_score), end - 1, -1))
+        here.sort()
+        return here
+
+    def n_best(self, chunk: str, n: int) -> list[tuple[float, list[int]]]:
+        """The n best segmentations, best first; of equal scores, the one that the search meets first.
 
         Forward Viterbi scores are the exact rest of every backward path: an edge's loss is what it scores less than
         the best way to its end, and a backward path's cost is the sum of its losses.  What comes off the queue is
         walked down to the start along edges without loss, so each step of the A* search gives one segmentation.
-        Without ``paths`` only the best has its ids.
+        Paths are linked back to front, so a step costs no more than the chunk's length.
         """
-        forward = forward or Forward(self)
-        forward.move(chunk)
-        total, losses = forward.ahead[-1], forward.losses
-        # sorted, and no longer than what is still asked for; cuts go from the end back, with the ids of the pieces
-        queue: list[tuple[float, tuple[int, ...], tuple[int, ...]]] = [(0.0, (len(chunk),), ())]
+        ahead = self.ahead(chunk)
+        total = ahead[-1]
+        # no longer than what is still asked for: (loss, serial number, (start, id, path behind it))
+        queue: list[tuple[float, int, tuple]] = [(0.0, 0, (len(chunk), None, None))]
+        serial = 0
         out: list[tuple[float, list[int]]] = []
         while queue:
-            loss, cuts, ids = queue.pop(0)
+            loss, _, path = queue.pop(0)
             room = n - len(out) - 1
             del queue[room:]
             limit = queue[-1][0] if room and len(queue) == room else math.inf if room else -1.0
-            at = cuts[-1]
+            at = path[0]
             while at:
-                edges = losses[at]
+                edges = self.into(chunk, ahead, at)
                 if len(edges) > 1 and loss + edges[1][0] <= limit:
                     for more, start, i in edges[1:]:
                         if loss + more > limit:
                             break
-                        bisect.insort(queue, (loss + more, (*cuts, start), (*ids, i)))
+                        serial += 1
+                        bisect.insort(queue, (loss + more, serial, (start, i, path)))
                         if len(queue) >= room:
                             del queue[room:]
                             limit = queue[-1][0]
                 _, at, i = edges[0]
-                cuts += (at,)
-                ids += (i,)
-            found: list[int] = []
-            if paths or not out:
-                found = list(ids[::-1])
-                if min(found, default=0) < 0:
-                    found = self.known(chunk, cuts, ids)
-            out.append((total - loss, found))
+                path = (at, i, path)
+            out.append((total - loss, self.spelled(chunk, path)))
         return out
 
-    def known(self, chunk: str, cuts: tuple[int, ...], ids: tuple[int, ...]) -> list[int]:
-        """Ids of a backward path, unknown characters as bytes."""
+    def spelled(self, chunk: str, path: tuple) -> list[int]:
+        """Ids of a path from the start, unknown characters as bytes."""
         found: list[int] = []
-        for end, start, i in zip(cuts[-2::-1], cuts[:0:-1], ids[::-1]):
+        while path[1] is not None:
+            start, i, path = path
             if i >= 0:
                 found.append(i)
             elif self.byte_ids:
-                found += [self.byte_ids[x] for x in chunk[start:end].encode("utf-8", "surrogatepass")]
+                found += [self.byte_ids[x] for x in chunk[start: path[0]].encode("utf-8", "surrogatepass")]
             else:
                 found.append(self.unknown_id)
         return found
 
+    def units(self, chunk: str) -> list[str]:
+        """What is searched as one: the chunk, or if it is long, its parts."""
+        return [chunk] if len(chunk) <= LONG else self.parts(chunk)
+
     def parts(self, chunk: str) -> list[str]:
         """The chunk cut wherever two characters stand side by side in no piece; no edge of the lattice is cut."""
         out, start = [], 0
@@ -160,44 +208,138 @@ class Lattice:
         out.append(chunk[start:])
         return out
 
+    def decode_bytes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that ids stand for, and the offset of each id's."""
+        sizes = self.name_size[ids]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        return self.name_bytes[np.repeat(self.name_at[ids] - ends[:-1], sizes) + np.arange(ends[-1])], ends
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the mark in front goes."""
-        out = b"".join(map(self.names.__getitem__, ids)).decode("utf-8", "surrogatepass")
+        out = self.decode_bytes(np.asarray(ids, np.int64))[0].tobytes().decode("utf-8", "surrogatepass")
         return out[1:] if out.startswith(" ") else out
 
 
 class Forward:
-    """Forward Viterbi over one chunk after another; what a chunk shares with the one before is kept, so sorted chunks
-    cost little."""
+    """Forward Viterbi over many short chunks in step: best score, best ids and least loss of another way, for each.
+
+    Chunks stand as columns, longest first, a character a row.  Pieces are found by walking all starts down one trie
+    together: the commonest characters by a dense table, others by a sorted list of (state, character).
+    """
+
+    DENSE = 96
 
     def __init__(self, lattice: Lattice) -> None:
-        self.lattice, self.text = lattice, ""
-        self.ahead = [0.0]
-        self.losses: list[list[tuple[float, int, int]]] = [[]]  # into each end: (loss, start, id), least loss first
-
-    def move(self, chunk: str) -> None:
-        before, ahead, losses = self.text, self.ahead, self.losses
-        same, most = 0, min(len(before), len(chunk))
-        while same < most and before[same] == chunk[same]:
-            same += 1
-        del ahead[same + 1:], losses[same + 1:]
-        pieces, longest, unknown = self.lattice.pieces.get, self.lattice.longest, self.lattice.unknown_score
-        for end in range(same + 1, len(chunk) + 1):
-            here = []
-            for start in range(end - longest if end > longest else 0, end):
-                got = pieces(chunk[start:end])
-                if got is not None:
-                    here.append((ahead[start] + got[1], start, got[0]))
-            if not here or here[-1][1] != end - 1:
-                here.append((ahead[end - 1] + unknown, end - 1, -1))
-            if len(here) == 1:
-                ahead.append(here[0][0])
-                losses.append([(0.0, here[0][1], here[0][2])])
-            else:
-                best = max(here)[0]
-                ahead.append(best)
-                losses.append(sorted([(best - f, start, i) for f, start, i in here]))
-        self.text = chunk
+        self.lattice = lattice
+        often: dict[str, int] = {}
+        for p in lattice.pieces:
+            for c in p:
+                often[c] = often.get(c, 0) + 1
+        chars = sorted(often, key=lambda c: (-often[c], c))
+        self.kind = np.zeros(0x110000, np.int32)  # 0: in no piece
+        for k, c in enumerate(chars):
+            self.kind[ord(c)] = k + 1
+        states: dict[str, int] = {"": 1}  # 0: dead
+        steps = []
+        for p in lattice.pieces:
+            at = 1
+            for k in range(1, len(p) + 1):
+                to = states.get(p[:k])
+                if to is None:
+                    to = states[p[:k]] = len(states) + 1
+                    steps.append((at, int(self.kind[ord(p[k - 1])]), to))
+                at = to
+        self.width = len(chars) + 1
+        self.dense = np.zeros((len(states) + 1, self.DENSE), np.int32)
+        rare = sorted((at * self.width + kind, to) for at, kind, to in steps if kind >= self.DENSE)
+        for at, kind, to in steps:
+            if kind < self.DENSE:
+                self.dense[at, kind] = to
+        self.rare_key, self.rare_to = np.array([k for k, _ in rare] + [np.iinfo(np.int64).max]), np.array([t for _, t in rare] + [0], np.int32)
+        self.score = np.full(len(states) + 1, -np.inf)
+        self.id = np.full(len(states) + 1, -1, np.int32)
+        for p, (i, score) in lattice.pieces.items():
+            self.score[states[p]], self.id[states[p]] = score, i
+
+    def step(self, state: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        common = kind < self.DENSE
+        to = self.dense[state, np.where(common, kind, 0)]  # column 0 is dead
+        if not common.all():
+            far = np.flatnonzero(~common)
+            key = state[far].astype(np.int64) * self.width + kind[far]
+            at = np.searchsorted(self.rare_key, key)
+            to[far] = np.where(self.rare_key[at] == key, self.rare_to[at], 0)
+        return to
+
+    def __call__(self, chunks: list[str]) -> list[tuple[float, bytes, float]]:
+        """For each chunk (not empty): the best score, its ids as 32-bit numbers, the least loss of another way."""
+        found: list = [None] * len(chunks)
+        order = sorted(range(len(chunks)), key=lambda i: -len(chunks[i]))
+        first = 0
+        while first < len(order):
+            many = max(1, SQUARE // len(chunks[order[first]]))
+            mine = order[first: first + many]
+            for i, got in zip(mine, self._square([chunks[i] for i in mine])):
+                found[i] = got
+            first += many
+        return found
+
+    def _square(self, chunks: list[str]) -> list[tuple[float, bytes, float]]:
+        n, tall = len(chunks), len(chunks[0])
+        sizes = np.array([len(c) for c in chunks])
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+        column = np.repeat(np.arange(n), sizes)
+        row = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        kind = np.zeros((tall, n), np.int32)
+        kind[row, column] = self.kind[codes]
+        flat = kind.ravel()
+        longest = min(self.lattice.longest, tall)
+        score, name, some = [None], [None], [None]  # by length of the piece, at its start
+        where, state = row * n + column, np.ones(len(codes), np.int32)
+        for size in range(1, longest + 1):
+            inside = where + (size - 1) * n < tall * n
+            where, state = where[inside], state[inside]
+            state = self.step(state, flat[where + (size - 1) * n])
+            alive = state > 0
+            where, state = where[alive], state[alive]
+            scores, names = np.full(tall * n, -np.inf), np.full(tall * n, -1, np.int32)
+            scores[where], names[where] = self.score[state], self.id[state]
+            if size == 1:
+                scores[np.isneginf(scores)] = self.lattice.unknown_score
+            score.append(scores.reshape(tall, n))
+            name.append(names.reshape(tall, n))
+            some.append((names.reshape(tall, n) >= 0).any(1) if size > 1 else np.ones(tall, bool))
+        ahead, back, gap = np.zeros((tall + 1, n)), np.zeros((tall + 1, n), np.int32), np.full((tall + 1, n), np.inf)
+        for end, active in enumerate(np.searchsorted(-sizes, -np.arange(tall + 1), side="right").tolist()):
+            if not end:
+                continue
+            best, second, how = np.full(active, -np.inf), np.full(active, -np.inf), np.zeros(active, np.int32)
+            for size in range(min(end, longest), 0, -1):  # the first start first: a later one must score more
+                if some[size][end - size]:
+                    other = ahead[end - size, :active] + score[size][end - size, :active]
+                    how[other > best] = size
+                    np.maximum(second, np.minimum(best, other), out=second)
+                    np.maximum(best, other, out=best)
+            ahead[end, :active], back[end, :active], gap[end, :active] = best, how, best - second
+        names = np.stack([np.zeros((tall, n), np.int32), *name[1:]])
+        at, least, live, spelled = sizes.copy(), np.full(n, np.inf), np.arange(n), []
+        while len(live):
+            end = at[live]
+            least[live] = np.minimum(least[live], gap[end, live])
+            size = back[end, live]
+            at[live] = end - size
+            spelled.append((live, names[size, end - size, live]))
+            live = live[at[live] > 0]
+        pieces = np.bincount(np.concatenate([x for x, _ in spelled]), minlength=n)
+        ends = np.cumsum(pieces)
+        ids = np.zeros(ends[-1], np.int32)
+        for k, (live, i) in enumerate(spelled):
+            ids[ends[live] - 1 - k] = i
+        strange = np.logical_or.reduceat(ids < 0, ends - pieces).tolist()
+        raw = ids.tobytes()
+        return [
+            (score, raw[4 * (end - size): 4 * end] if not odd else array("i", self.lattice.n_best(chunk, 1)[0][1]).tobytes(), loss)
+            for chunk, score, end, size, odd, loss in zip(chunks, ahead[sizes, np.arange(n)].tolist(), ends.tolist(), pieces.tolist(), strange, least.tolist())]
 
 
 _loaded: dict[str, Lattice] = {}

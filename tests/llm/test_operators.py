@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -41,7 +42,7 @@ def empty(spark):
 
 
 def test_op1(spark, table, empty):
-    got = op1_flac.features(op1_flac.store(table)).collect()
+    got = op1_flac.features(op1_flac.pcm_blocks(op1_flac.store(table))).collect()
     assert len(got) == len(ROWS)
     for r in got:
         data = next((t or "") for i, t, _ in ROWS if i == r.doc_id).encode()
@@ -52,7 +53,7 @@ def test_op1(spark, table, empty):
     pcm = b"".join(r.pcm for r in blocks)
     assert bytes((np.frombuffer(pcm, np.uint8) ^ 0x80)[: len(LONG)]).decode() == LONG
     assert [r.sample_offset for r in blocks] == list(range(0, len(pcm), 4096))
-    assert op1_flac.features(op1_flac.store(empty)).count() == 0
+    assert op1_flac.features(op1_flac.pcm_blocks(op1_flac.store(empty))).count() == 0
 
 
 def test_op2(spark):
@@ -199,14 +200,37 @@ def test_unigram_against_the_library(lattice):
     r = random.Random(5)
     for _ in range(60):
         text = " ".join("".join(r.choice(["th", "ing", "er", "on", "re", "st"]) for _ in range(r.randrange(1, 4))) for _ in range(r.randrange(1, 5)))
-        ids, score, best, chunks = op8_sentencepiece.encode_text(lattice, text, 4)
-        if score < -(1 << 24):
+        best = op8_sentencepiece.encode_text(lattice, text, 4)
+        if best[0][0] < -(1 << 24):
             continue
         want = sp.nbest_encode(text, nbest_size=4)
         total = lambda x: sum(sp.get_score(i) for i in x)
-        assert [score - loss for loss, _ in best][: len(want)] == pytest.approx([total(x) for x in want])
-        assert [total(op8_sentencepiece.n_best_ids(lattice, chunks, picks)) for _, picks in best] == pytest.approx([score - loss for loss, _ in best])
-        assert lattice.decode(list(ids)) == text
+        assert [score for score, _ in best][: len(want)] == pytest.approx([total(x) for x in want])
+        assert [total(ids) for _, ids in best] == pytest.approx([score for score, _ in best])
+        assert lattice.decode(best[0][1]) == text
+
+
+def test_forward_in_step_equals_the_search(lattice):
+    from postern.llm import unigram
+    r = random.Random(8)
+    chunks = ["".join(r.choice("▁abcdeinorstéñ日ü🎉-0") for _ in range(r.randrange(1, 40))) for _ in range(400)] + ["▁the", "a", "日本語"]
+    for chunk, (score, ids, loss) in zip(chunks, unigram.Forward(lattice)(chunks)):
+        two = lattice.n_best(chunk, 2)
+        assert score == two[0][0] == lattice.count(chunk)[0] and np.frombuffer(ids, np.int32).tolist() == two[0][1] and len(two[0][1]) == lattice.count(chunk)[1]
+        assert loss == (two[0][0] - two[1][0] if len(two) > 1 else math.inf)
+
+
+def test_op8_long_run_is_linear(lattice):
+    r = random.Random(6)
+    took = []
+    for n in (50_000, 400_000):
+        text = "".join(r.choice("acgt") for _ in range(n))
+        began = time.process_time()
+        best = op8_sentencepiece.encode_text(lattice, text, 4)
+        took.append(time.process_time() - began)
+        assert [s for s, _ in best] == sorted([s for s, _ in best], reverse=True) and all(lattice.decode(ids) == text for _, ids in best)
+        assert len({tuple(ids) for _, ids in best}) == 4
+    assert took[1] < 20 * took[0] + 1
 
 
 def test_merge_is_brute_force():
