@@ -2,16 +2,19 @@
 
 Distinct vectors are dealt to shards of about ``shard_rows`` by a hash; each shard's graph is a row of a table: ids, unit
 vectors, and for every layer its nodes and a fixed-width neighbour array.  A node's links are chosen by the diversity
-rule from its nearest earlier nodes on the layer, and pruned by the same rule.  Queries descend greedily to the bottom
-layer and search it with a beam of ``ef``; what the shards find is scored again in double precision on the original
-vectors, and merged.
+rule from its nearest earlier nodes on the layer, and pruned by the same rule; in a shard of this size a product over
+blocks finds these nearest ones faster than a search of the growing graph would, and exactly.  Queries descend greedily
+to the bottom layer and search it with a beam of ``ef``; what the shards find is scored again in double precision on the
+original vectors, and merged.  Graphs are read where their shard is searched, once for ``PART_ROWS`` queries, and the
+query blocks come to them.
 
 Equal vectors are one node; of each the k + 1 smallest ids travel, enough for any query, itself left out.  So copies,
 however many, neither crowd a graph nor meet in one task, and ties go to the smaller id.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids;
-vectors of different lengths do not meet; rows with the same id and vector count once; with fewer candidates than k all
-are returned; an empty table gives an empty one; columns other than vec_id and embedding are not looked at.
+vectors of different lengths do not meet; rows with the same id and vector count once; rows with the query's id under
+another vector are its own, too, and more are looked for in their place; with fewer candidates than k all are returned;
+vectors have any length and any finite size; an empty table gives an empty one; columns other than vec_id and embedding are not looked at.
 """
 from __future__ import annotations
 
@@ -21,12 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from . import common as C
 
-K, WIDTH, EF, SHARD_ROWS, BLOCK_ROWS = 5, 16, 128, 8_192, 256
-INDEX = "shard long, dim int, ids binary, raw binary, sizes array<int>, nodes binary, links binary"
+K, WIDTH, EF, SHARD_ROWS, BLOCK_ROWS, PART_ROWS = 5, 16, 128, 8_192, 256, 16_384
+INDEX = "shard long, dim int, ids binary, firsts binary, raw binary, sizes array<int>, nodes binary, links binary"
 
 
 def _choose(near: np.ndarray, unit: np.ndarray, sims: np.ndarray, width: int) -> np.ndarray:
@@ -129,8 +132,7 @@ def search(unit: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], lists:
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
-    x = raw.astype(np.float64)
-    x /= np.abs(x).max(1, keepdims=True)
+    x = _scaled(raw.astype(np.float64))
     return (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float32)
 
 
@@ -142,6 +144,7 @@ def _graph(shard: pa.RecordBatch) -> pa.RecordBatch:
     sizes = [v for nodes, links in layers for v in links.shape]
     return pa.record_batch({
         "shard": shard.column("shard").slice(0, 1), "dim": pa.array([raw.shape[1]], pa.int32()), "ids": pa.array([ids[order].astype("<i8").tobytes()]),
+        "firsts": pa.array([shard.column("first").to_numpy(zero_copy_only=False)[order].astype("<i8").tobytes()]),
         "raw": pa.array([raw.astype("<f8").tobytes()]), "sizes": pa.array([sizes], pa.list_(pa.int32())),
         "nodes": pa.array([b"".join(a.tobytes() for a, _ in layers)]), "links": pa.array([b"".join(b.tobytes() for _, b in layers)])})
 
@@ -151,64 +154,98 @@ def valid(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(fine, F.lit(False)) & F.exists("embedding", lambda x: x != 0))
 
 
+def _shards(nodes: DataFrame, shard_rows: int) -> DataFrame:
+    """dim and its number of shards; one row for each length of vectors."""
+    return nodes.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(shard_rows)).cast("long").alias("shards"))
+
+
 def index(nodes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """A graph row for each shard of nodes (rep, embedding, dim)."""
-    sizes = {r.dim: r.n for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(10_000).collect()}
-    shards = F.lit(1)
-    for dim, n in sizes.items():
-        if n > shard_rows:
-            shards = F.when(F.col("dim") == dim, F.lit(-(-n // shard_rows))).otherwise(shards)
-    key = F.xxhash64("dim", F.pmod(F.xxhash64("rep"), shards))
-    return C.by_group(nodes.withColumn("shard", key), "shard", _graph, INDEX)
+    dealt = C.hot_join(nodes, _shards(nodes, shard_rows), "dim", "rep")
+    return C.by_group(dealt.withColumn("shard", _shard("dim", F.pmod(F.xxhash64("rep"), F.col("shards")))).drop("shards"), "shard", _graph, INDEX)
+
+
+def _shard(dim: str, number: Column) -> Column:
+    return F.xxhash64(dim, number)
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that their squares neither overflow nor vanish; their cosines are the same."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
+class _Loaded:
+    """A shard's graph, ready to be searched."""
+
+    def __init__(self, row: dict) -> None:
+        self.raw = _scaled(np.frombuffer(row["raw"], "<f8").reshape(-1, row["dim"]))
+        self.ids, self.firsts, self.unit = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["firsts"], "<i8"), _unit(self.raw)
+        self.norms = np.sqrt((self.raw * self.raw).sum(1))
+        self.layers, a, b = [], 0, 0
+        for n, wide in zip(row["sizes"][::2], row["sizes"][1::2]):
+            self.layers.append((np.frombuffer(row["nodes"], np.int32, n, a), np.frombuffer(row["links"], np.int32, n * wide, b).reshape(n, wide)))
+            a, b = a + 4 * n, b + 4 * n * wide
+        self.lists = [[[j for j in r if j >= 0] for r in links.tolist()] for _, links in self.layers]
+
+    def nearest(self, embedding: list[float], need: int, ef: int) -> list[tuple[int, int, float]]:
+        """Node, its smallest id and cosine of the ``need`` nearest that a search finds."""
+        q = _scaled(np.array(embedding, np.float64)[None])
+        near = np.array(search(self.unit, self.layers, self.lists, _unit(q)[0], max(ef, 2 * need)))
+        exact = (self.raw[near] @ q[0]) / (self.norms[near] * math.sqrt(float(q[0] @ q[0])))
+        return [(int(self.ids[near[i]]), int(self.firsts[near[i]]), float(exact[i])) for i in np.lexsort((self.firsts[near], -exact))[:need]]
+
 
+def _search_blocks(ef: int):
+    """Rows sorted by (shard, part): a graph comes first, and the query blocks that search it follow."""
 
-def _search_blocks(k: int, ef: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph, at = None, None
         for batch in batches:
-            for row in batch.to_pylist():
-                raw = np.frombuffer(row["raw"], "<f8").reshape(-1, row["dim"])
-                ids, unit = np.frombuffer(row["ids"], "<i8"), _unit(raw)
-                norms = np.sqrt((raw * raw).sum(1))
-                layers, a, b = [], 0, 0
-                for n, wide in zip(row["sizes"][::2], row["sizes"][1::2]):
-                    layers.append((np.frombuffer(row["nodes"], np.int32, n, a), np.frombuffer(row["links"], np.int32, n * wide, b).reshape(n, wide)))
-                    a, b = a + 4 * n, b + 4 * n * wide
-                lists = [[[j for j in r if j >= 0] for r in links.tolist()] for _, links in layers]
-                out: list[tuple[int, int, float]] = []
-                for query in row["queries"]:
-                    q = np.array(query["embedding"], np.float64)
-                    near = np.array(search(unit, layers, lists, _unit(q[None])[0], ef))
-                    exact = (raw[near] @ q) / (norms[near] * math.sqrt(float(q @ q)))
-                    best = np.lexsort((ids[near], -exact))[: k + 1]
-                    out += [(query["qkey"], int(ids[near[i]]), float(exact[i])) for i in best]
+            for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
+                if row["queries"] is None:
+                    graph, at = _Loaded(row), (row["shard"], row["part"])
+                    continue
+                if at != (row["shard"], row["part"]):
+                    continue  # queries of a length that no vector has
+                out = [(query["qkey"], *found) for query in row["queries"] for found in graph.nearest(query["embedding"], query["need"], ef)]
                 if out:
-                    q, r, s = zip(*out)
-                    yield pa.record_batch({"qkey": pa.array(q, pa.int64()), "rep": pa.array(r, pa.int64()), "score": pa.array(s, pa.float64())})
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["qkey", "rep", "first", "score"])
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, ef: int = EF) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, ef: int = EF, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for every row of queries (vec_id, embedding), itself left out."""
     rows = C.cut(valid(vectors).withColumn("dim", F.size("embedding")).distinct(), "vectors")
     order = Window.partitionBy("embedding").orderBy("vec_id")
     copies = C.cut(rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1), "copies")  # limited before the shuffle, too
     nodes = copies.filter("r = 1").select(F.col("vec_id").alias("rep"), "embedding", "dim")
-    graphs = C.cut(index(nodes), "graphs")
+    # an id may stand under several vectors and may be a copy's representative: nodes are named by a number of their own
+    nodes = C.cut(nodes.select(F.monotonically_increasing_id().alias("rep"), F.col("rep").alias("first"), "embedding", "dim"), "nodes")
+    graphs = C.cut(index(nodes, shard_rows), "graphs")
     asked = C.cut(valid(queries).distinct().withColumn("dim", F.size("embedding")), "asked")
-    distinct = C.cut(asked.groupBy("embedding").agg(F.min("vec_id").alias("qkey"), F.min("dim").alias("dim")), "distinct")
-    blocks = max(1, -(-distinct.count() // BLOCK_ROWS))
-    packed = distinct.groupBy("dim", F.pmod(F.xxhash64("qkey"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("qkey", "embedding")).alias("queries"))
-    # the query set against every shard, block by block: one row for each (shard, block)
-    work = graphs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(packed, ["dim", "block"])
-    work = work.repartition(F.col("shard"), F.col("block"))
-    found = work.select("dim", "ids", "raw", "sizes", "nodes", "links", "queries").mapInArrow(_search_blocks(k, ef), "qkey long, rep long, score double")
-    best = Window.partitionBy("qkey").orderBy(F.desc("score"), "rep")
-    top = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).drop("r")
+    own = rows.join(asked.select("vec_id").distinct(), "vec_id", "left_semi").groupBy("vec_id").agg(F.count("*").alias("own"))
+    mine = asked.join(own, "vec_id", "left").withColumn("need", (F.lit(k) + F.coalesce("own", F.lit(1))).cast("int"))
+    distinct = C.cut(mine.groupBy("embedding").agg(F.max("need").alias("need"), F.min("dim").alias("dim")).withColumn("qkey", F.monotonically_increasing_id()), "distinct")
+    number = distinct.count()
+    blocks, parts = max(1, -(-number // BLOCK_ROWS)), max(1, -(-number // PART_ROWS))
+    packed = distinct.groupBy("dim", F.pmod(F.xxhash64("qkey"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("qkey", "need", "embedding")).alias("queries"))
+    # the query set against every shard, block by block: a graph goes out once for PART_ROWS queries, and the queries,
+    # which are far smaller, to every graph
+    carried = [*graphs.columns[2:]]
+    sent = C.hot_join(packed, _shards(nodes, shard_rows), "dim", "block").withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
+    sent = sent.select(_shard("dim", F.col("number")).alias("shard"), "dim", *[F.lit(None).cast(graphs.schema[c].dataType).alias(c) for c in carried], (F.col("block") % F.lit(parts)).cast("int").alias("part"), "queries")
+    kept = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("queries", F.lit(None).cast(packed.schema["queries"].dataType))
+    work = kept.unionByName(sent).repartition(F.col("shard"), F.col("part")).sortWithinPartitions("shard", "part", F.col("queries").isNotNull())
+    found = work.mapInArrow(_search_blocks(ef), "qkey long, rep long, first long, score double")
+    needs = distinct.select("qkey", "need")
+    best = Window.partitionBy("qkey").orderBy(F.desc("score"), "first", "rep")
+    most = F.lit(int(distinct.agg(F.max("need")).first()[0] or k + 1))
+    top = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= most).drop("r", "first")
     mates = nodes.select("rep", F.col("embedding").alias("e")).join(copies.select(F.col("embedding").alias("e"), "vec_id"), "e").select("rep", "vec_id")
     top = top.join(mates, "rep")
     best = Window.partitionBy("qkey").orderBy(F.desc("score"), "vec_id")
-    top = top.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
+    top = top.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= most).join(needs, "qkey").filter("r <= need")
     lists = top.groupBy("qkey").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))
     lists = distinct.select("embedding", "qkey").join(lists, "qkey").select("embedding", "near")
     out = C.hot_join(asked, lists, "embedding", "vec_id")
