@@ -11,8 +11,8 @@ of the one range that holds the boundary, and rows are ordered in the last one a
 (source, range), so a source with a third of all rows is 512 keys.  One row per source (not per document) is ranked
 in one task.
 
-Defined results: null or wordless texts have size 0 and are taken 0 times; null source is a source, the last; a null
-doc_id counts as the empty string for its key; equal rows are taken in any order, which does not show; a source of
+Defined results: null or wordless texts have size 0 and are taken 0 times; null source is a source, the last; a row without
+doc_id has its key from its text; equal rows are taken in any order, which does not show; a source of
 size 0 has target 0; an empty table gives an empty one; other columns are not looked at.
 """
 from __future__ import annotations
@@ -22,7 +22,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from . import common as C
 
 RANGES = 512
-WORD = r"[^\x20\x09-\x0D]+"
+#: The least quality weight.
+LEAST = 1.0 / 21.0
+GAP = r"[\x20\x09-\x0D]+"
 JUNK = "#$%&*|!"
 
 
@@ -55,16 +57,18 @@ def targets(per_source: DataFrame, cycle: tuple[int, ...], cap: int) -> DataFram
     return w.select("source_key", "source_size", F.when(F.col("full"), F.col("most")).otherwise(F.col("weight") * F.col("water")).alias("target"))
 
 
-def mix(docs: DataFrame, cycle: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: str = "mix", weight: Column | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, taken, and row (a hash of all columns): one row for each row of docs."""
+def mix(docs: DataFrame, cycle: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: str = "mix", weight: Column | None = None, row: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken, and row (the whole number that the column ``row`` holds, else null): one
+    row for each row of docs."""
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = docs.select(
         "doc_id", "source",
-        F.xxhash64(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"),
+        (F.col(f"`{row}`") if row else F.lit(None)).cast("long").alias("row"),
         F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("source_key"),
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        (-F.log(uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed)) / (quality_weight(text) if weight is None else weight)).alias("key"))
-    fine = F.least(F.lit(RANGES * RANGES - 1), F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * F.lit(RANGES * RANGES))).cast("int")
+        C.n_words(text, GAP).alias("size"),
+        (-F.log(uniform(F.coalesce(F.col("doc_id").cast("string"), F.md5(text)), seed)) / (quality_weight(text) if weight is None else weight)).alias("key"))
+    # keys of weights from LEAST to 1 spread over all ranges: none holds more than 1 / LEAST times its even share
+    fine = F.least(F.lit(RANGES * RANGES - 1), F.floor((F.lit(1.0) - F.exp(-F.col("key") * F.lit(LEAST))) * F.lit(RANGES * RANGES))).cast("int")
     rows = C.cut(sized.withColumn("fine", fine).withColumn("coarse", F.floor(F.col("fine") / RANGES).cast("int")), "sized")
     cells = rows.groupBy("source_key", "coarse").agg(F.min("source").alias("source"), F.sum("size").alias("cell"))
     cells = C.cut(cells, "cells")
@@ -91,6 +95,17 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed:
     return plain.union(within.select(*columns, (F.col("size") * (F.col("epochs") + chosen)).alias("taken")))
 
 
+def take(docs: DataFrame, **options) -> DataFrame:
+    """Every row of docs as often as the mix takes it; options are those of ``mix``."""
+    row, times = "_row", "_times"
+    while {row, times} & set(docs.columns):
+        row, times = row + "_", times + "_"
+    numbered = C.cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    taken = mix(numbered, row=row, **options).filter("taken > 0").select(F.col("row").alias(row), (F.col("taken") / F.col("size")).cast("int").alias(times))
+    often = numbered.join(taken, row)
+    return often.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times))).alias(row)).drop(row)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(C.table(spark, sf_dir, "documents")).drop("row")
 
@@ -99,7 +114,7 @@ QUERIES = {"op5_mix_sources": op5_mix_sources}
 ORACLE = {"op5_mix_sources": r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         -ln((CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
+         -ln((CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
            / (1.0::DOUBLE / (1.0::DOUBLE + 20.0::DOUBLE * CASE WHEN length(text) > 0
               THEN (length(text) - length(translate(text, '#$%&*|!', '')))::DOUBLE / length(text)::DOUBLE ELSE 0.0::DOUBLE END)) AS key
   FROM documents),
