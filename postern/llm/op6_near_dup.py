@@ -1,22 +1,29 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
 A document's set holds the 64-bit hashes of its distinct 4-word shingles (with fewer words: the whole sequence as
-one; without words: empty, linked with nothing).  Documents with equal sets form a class, of which the smallest
-doc_id goes on.  Each of ``TREES`` trees deals the representatives by one minwise token.  The documents of a node with
-more than ``leaf`` of them are dealt once more, by BANDS bands of ROWS tokens; that deal does not look at the node, so
-it costs a document the same in however many large nodes it stands.  In a group, minhash estimates find the clusters of
-documents that could be linked; each cluster is then compared on full sets, and components come from the verified links
-alone.  Groups and clusters of more than ``most`` rows are cut into blocks, and every two blocks are compared: nothing
-is dropped, and no task holds more than ``most`` rows of a group.
+one; without words: empty, linked with nothing).  Documents with equal sets form a class, which goes on as one.  Each
+of ``TREES`` trees deals the classes by one minwise token.  A node with up to ``leaf`` of them is compared as a whole:
+minhash estimates find the clusters of classes that could be linked, each cluster is compared on full sets, and
+components come from the verified links alone.
+
+Larger nodes.  First leaders: in blocks of a node, the class that agrees most with the commonest tokens of its cluster
+is a centre; up to LEADERS centres of a node that are not near each other lead, and every class of the node is verified
+against them.  These links are kept, and give most classes of a group of near copies one label.  Then the classes of
+such nodes are dealt once more, by BANDS bands of ROWS tokens; that deal does not look at the node, so it costs a class
+the same in however many large nodes it stands.  A band whose classes have one label already has nothing to find and
+goes.  Others are compared as a whole or, beyond ``most``, block by block: every class that lacks the band's commonest
+label against all of the band.  So nothing is dropped, no task holds more than a block, and a group of n near copies
+costs n rows for each leader step, not n * n.
 
 Recall.  Two documents at similarity 0.8 are missed if no tree has them in one node (0.2^8 = 2.6e-6), if that node is
 large and no band has them together ((1 - 0.8^3)^20 = 5.9e-7), or if fewer than 77 of their 128 tokens are equal
 (7.6e-8): 3.3e-6 in all, whatever the size of a node.
 
 Defined results: a null or empty text, or one of separators only, has n_shingles 0 and is its own component; equal
-rows share a component; a null doc_id never becomes a component_id while its class holds another id, and is never
-kept unless it stands alone (then its component_id is null); an empty table gives an empty table; columns other than
-doc_id and text are not looked at.
+rows share a component, and so do rows with one doc_id and linked texts, while rows with one doc_id and different texts
+are told apart; component_id is the smallest doc_id that is not null in the component, null if there is none; a null
+doc_id is kept only where there is none; texts are read whole, and long ones count as several where blocks are dealt;
+an empty table gives an empty table; columns other than doc_id and text are not looked at.
 """
 from __future__ import annotations
 
@@ -33,6 +40,8 @@ from . import common as C
 TOKENS, TREES = 128, 8
 #: Bands of the second deal, and the tokens of each.
 BANDS, ROWS = 20, 3
+#: Leaders of a large node, the trees whose large nodes get them, and the shingles that count as one more row of a block.
+LEADERS, LED_TREES, LONG = 16, 3, 2000
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -144,17 +153,16 @@ def minwise(value: np.ndarray, at: np.ndarray, tokens: int) -> np.ndarray:
     return out
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class_a and class_b (a 128-bit hash of the set, null for empty sets), roots, tokens."""
+def sketches(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, class_a and class_b (a 128-bit hash of the set, null for empty sets), roots, tokens, row (the
+    whole number that the column ``row`` holds, else null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in C.slices(batches, "text"):
             value, at = shingle_sets(*C.text_buffer(batch.column("text")), words)
             n = np.diff(at)
-            with np.errstate(over="ignore"):
-                a = _total(value, at)
-                b = _total(_mix(value ^ np.uint64(0x5851F42D4C957F2D)), at)
+            a, b = _class(value, at)
             none = n == 0
             drawn = minwise(value, at, TREES + TOKENS)
             roots, tokens = drawn[:, :TREES].astype(np.int64), _mix(drawn[:, TREES:]).astype(np.uint16).view(np.int16)
@@ -166,9 +174,18 @@ def sketches(docs: DataFrame) -> DataFrame:
                 "class_b": pa.array(b.view(np.int64), pa.int64(), mask=none),
                 "roots": pa.ListArray.from_arrays(pa.array(ends * TREES), pa.array(roots.ravel())),
                 "tokens": pa.ListArray.from_arrays(pa.array(ends * TOKENS), pa.array(tokens.ravel())),
+                "row": batch.column("row"),
             })
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class_a long, class_b long, roots array<long>, tokens array<smallint>")
+    number = F.col(f"`{row}`") if row else F.lit(None)
+    schema = "doc_id long, n_shingles long, class_a long, class_b long, roots array<long>, tokens array<smallint>, row long"
+    return docs.select("doc_id", "text", number.cast("long").alias("row")).mapInArrow(run, schema)
+
+
+def _class(value: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set."""
+    with np.errstate(over="ignore"):
+        return _total(value, at), _total(_mix(value ^ np.uint64(0x5851F42D4C957F2D)), at)
 
 
 def _total(value: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -177,16 +194,18 @@ def _total(value: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and the sorted full set as little-endian 64-bit hashes."""
+    """class_a, class_b and the sorted full set as little-endian 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in C.slices(batches, "text"):
             value, at = shingle_sets(*C.text_buffer(batch.column("text")), words)
+            a, b = _class(value, at)
             raw = value.astype("<u8").tobytes()
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "full": pa.array([raw[8 * a: 8 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())})
+            full = pa.array([raw[8 * x: 8 * y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
+            yield pa.record_batch({"class_a": pa.array(a.view(np.int64)), "class_b": pa.array(b.view(np.int64)), "full": full})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, full binary")
+    return docs.select("text").mapInArrow(run, "class_a long, class_b long, full binary")
 
 
 def _find(parent: list[int], x: int) -> int:
@@ -196,31 +215,38 @@ def _find(parent: list[int], x: int) -> int:
     return x
 
 
+def _estimated(tokens: np.ndarray, least: float) -> np.ndarray:
+    """Labels of the connected clusters of rows whose tokens agree in a share of ``least`` or more."""
+    n = len(tokens)
+    need = math.ceil(least * tokens.shape[1])
+    label = np.arange(n)
+    for i in range(n - 1):
+        if (label[i:] == label[i]).all():
+            continue
+        hit = np.flatnonzero(np.count_nonzero(tokens[i + 1:] == tokens[i], axis=1) >= need)
+        if len(hit):
+            old = np.unique(np.append(label[hit + i + 1], label[i]))
+            if len(old) > 1:
+                label[np.isin(label, old)] = old[0]
+    return label
+
+
+def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct reps of a group, sorted, and their tokens."""
+    ids, first = np.unique(batch.column("rep").to_numpy(zero_copy_only=False), return_index=True)
+    return ids, batch.column("tokens").flatten().to_numpy().reshape(batch.num_rows, -1)[first]
+
+
 def _clusters(least: float):
-    """In a leaf: connected clusters of the estimate graph, as (cluster, doc_id) rows; documents without a partner go."""
+    """In a group: connected clusters of the estimate graph, as (cluster, rep) rows; classes without a partner go."""
 
     def run(leaf: pa.RecordBatch) -> pa.RecordBatch | None:
-        n = leaf.num_rows
-        if n < 2:
+        if leaf.num_rows < 2:
             return None
-        ids = leaf.column("rep").to_numpy(zero_copy_only=False)
-        ids, first = np.unique(ids, return_index=True)
-        n = len(ids)
-        if n < 2:
+        ids, tokens = _rows(leaf)
+        if len(ids) < 2:
             return None
-        tokens = leaf.column("tokens").flatten().to_numpy().reshape(leaf.num_rows, -1)[first]
-        need = math.ceil(least * tokens.shape[1])
-        label = np.arange(n)
-        for i in range(n - 1):
-            if (label[i:] == label[i]).all():
-                continue
-            same = np.count_nonzero(tokens[i + 1:] == tokens[i], axis=1)
-            hit = np.flatnonzero(same >= need)
-            if len(hit):
-                old = np.unique(np.append(label[hit + i + 1], label[i]))
-                if len(old) > 1:
-                    label[np.isin(label, old)] = old[0]
-        _, at, size = np.unique(label, return_inverse=True, return_counts=True)
+        _, at, size = np.unique(_estimated(tokens, least), return_inverse=True, return_counts=True)
         with np.errstate(over="ignore"):
             name = np.zeros(len(size), np.uint64)
             np.add.at(name, at, _mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x632BE59BD9B4E019)))
@@ -232,8 +258,73 @@ def _clusters(least: float):
     return run
 
 
+def _centres(least: float, most: int = 4):
+    """In a block of a large node: of each of its ``most`` largest clusters, the row that agrees most with the cluster's
+    commonest tokens, weighed by the cluster's size times the agreement."""
+
+    def run(block: pa.RecordBatch) -> pa.RecordBatch | None:
+        ids, tokens = _rows(block)
+        names, at, size = np.unique(_estimated(tokens, least), return_inverse=True, return_counts=True)
+        found = []
+        for c in np.argsort(-size, kind="stable")[:most].tolist():
+            if size[c] < 2:
+                break
+            mine = np.flatnonzero(at == c)
+            column = np.sort(tokens[mine], axis=0)
+            usual = np.empty(tokens.shape[1], tokens.dtype)
+            for j in range(tokens.shape[1]):
+                value, count = np.unique(column[:, j], return_counts=True)
+                usual[j] = value[count.argmax()]
+            agree = np.count_nonzero(tokens[mine] == usual, axis=1)
+            best = int(agree.argmax())
+            found.append((int(ids[mine[best]]), float(size[c]) * float(agree[best])))
+        if not found:
+            return None
+        node = block.column("node")[0].as_py()
+        return pa.record_batch({"node": pa.array([node] * len(found), pa.int64()), "rep": pa.array([r for r, _ in found], pa.int64()), "weight": pa.array([w for _, w in found])})
+
+    return run
+
+
+def _leading(most: int, near: float = 0.8):
+    """Of the centres of a node, heaviest first, up to ``most`` that are not near one taken before."""
+
+    def run(centres: pa.RecordBatch) -> pa.RecordBatch:
+        reps = centres.column("rep").to_numpy(zero_copy_only=False)
+        tokens = centres.column("tokens").flatten().to_numpy().reshape(centres.num_rows, -1)
+        taken: list[int] = []
+        for i in np.lexsort((reps, -centres.column("weight").to_numpy())).tolist():
+            if len(taken) < most and not any(np.count_nonzero(tokens[i] == tokens[j]) >= near * tokens.shape[1] for j in taken):
+                taken.append(i)
+        return pa.record_batch({"node": centres.column("node").slice(0, len(taken)), "leader": pa.array(reps[taken], pa.int64())})
+
+    return run
+
+
+def _followers(least: float):
+    """In a block of a large node with its leaders: (cluster, rep) rows of each leader and the rows that could be linked to it."""
+
+    def run(block: pa.RecordBatch) -> pa.RecordBatch | None:
+        ids, tokens = _rows(block)
+        led = np.unique(block.column("rep").to_numpy(zero_copy_only=False)[block.column("leads").to_numpy(zero_copy_only=False)])
+        need = math.ceil(least * tokens.shape[1])
+        clusters, reps = [], []
+        key = np.uint64(block.column("block")[0].as_py() & MASK)
+        for at in np.searchsorted(ids, led).tolist():
+            hit = ids[np.count_nonzero(tokens == tokens[at], axis=1) >= need]
+            if len(hit) > 1:
+                with np.errstate(over="ignore"):
+                    name = _mix(np.array([key], np.uint64) ^ _mix(ids[at: at + 1].astype(np.int64).view(np.uint64)))
+                clusters.append(np.repeat(name.view(np.int64), len(hit)))
+                reps.append(hit)
+        return pa.record_batch({"cluster": pa.array(np.concatenate(clusters)), "rep": pa.array(np.concatenate(reps), pa.int64())}) if reps else None
+
+    return run
+
+
 def links_of(sets: list[np.ndarray], percent: int = 80) -> list[int]:
-    """Smallest index reachable by links with 100 * intersection >= percent * union, for each set; exhaustive."""
+    """Smallest index reachable by links with 100 * intersection >= percent * union, for each set; exhaustive, but for
+    pairs that are connected already."""
     n = len(sets)
     parent = list(range(n))
     sizes = np.array([len(x) for x in sets])
@@ -242,15 +333,22 @@ def links_of(sets: list[np.ndarray], percent: int = 80) -> list[int]:
     mark = np.zeros(int(codes.max()) + 1 if len(codes) else 1, np.int32)
     root = np.arange(n)
     for i in range(n - 1):
-        if (root[i:] == root[i]).all():
+        # a link needs sizes within the ratio; what is connected already needs no link
+        other = np.flatnonzero((root[i + 1:] != root[i]) & (100 * np.minimum(sizes[i], sizes[i + 1:]) >= percent * np.maximum(sizes[i], sizes[i + 1:]))) + i + 1
+        if not len(other):
             continue
         mine = codes[at[i]: at[i + 1]]
         mark[mine] = 1
-        both = np.add.reduceat(mark[codes[at[i + 1]:]], at[i + 1: -1] - at[i + 1])
+        if 2 * len(other) > n - i:
+            both = np.add.reduceat(mark[codes[at[i + 1]:]], at[i + 1: -1] - at[i + 1])[other - i - 1]
+        else:
+            ends = np.cumsum(sizes[other])
+            inside = np.arange(ends[-1]) + np.repeat(at[other] - (ends - sizes[other]), sizes[other])
+            both = np.add.reduceat(mark[codes[inside]], ends - sizes[other])
         mark[mine] = 0
-        union = sizes[i] + sizes[i + 1:] - both
-        for j in np.flatnonzero(100 * both >= percent * union).tolist():
-            a, b = _find(parent, i), _find(parent, i + 1 + j)
+        union = sizes[i] + sizes[other] - both
+        for j in other[100 * both >= percent * union].tolist():
+            a, b = _find(parent, i), _find(parent, j)
             if a != b:
                 parent[max(a, b)] = min(a, b)
                 root[root == max(a, b)] = min(a, b)
@@ -306,47 +404,95 @@ def _bands() -> Column:
     return F.array(*[F.xxhash64(F.lit(j), *[F.get("tokens", F.lit(ROWS * j + i)) for i in range(ROWS)]) for j in range(BANDS)])
 
 
-def _blocks(rows: DataFrame, group: str, most: int) -> DataFrame:
-    """rows (group, rep) with groups of more than ``most`` rows cut into blocks, of which every two make a group; groups
-    of one row go."""
-    sizes = rows.groupBy(group).agg(F.count("*").alias("n")).filter("n > 1")
-    sized = C.cut(C.hot_join(rows, sizes, group, "rep"), f"sized-{group}")
-    blocks = F.ceil(F.col("n") / F.lit(most // 2))
-    own = F.pmod(F.xxhash64(F.lit(99), group, "rep"), blocks)
-    large = sized.filter(f"n > {most}").select(group, "rep", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-    pairs = large.select(F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other")).alias(group), "rep")
-    return sized.filter(f"n <= {most}").select(group, "rep").union(pairs)
-
+def _sizes(rows: DataFrame, group: str) -> DataFrame:
+    """group, n (its rows) and size (long rows count as several), of groups with two rows or more."""
+    return rows.groupBy(group).agg(F.count("*").alias("n"), F.sum(F.lit(1) + F.floor(F.col("n_shingles") / LONG)).alias("size")).filter("n > 1")
 
-def near_duplicates(docs: DataFrame, percent: int = 80, leaf: int = 1024, least: float = 0.6, levels: int = 1, most: int = 4096) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of docs.  See the module's text for the method.
 
-    ``levels`` = 0 leaves out the second deal: large nodes are then compared block by block as they are.
-    """
-    rows = C.cut(sketches(docs), "sketches")
-    sets = rows.filter("n_shingles > 0").groupBy("class_a", "class_b").agg(F.min("doc_id").alias("rep"), F.first("roots").alias("roots"), F.first("tokens").alias("tokens"))
-    reps = C.cut(sets, "reps")
-    known = reps.filter("rep is not null").select("rep", "tokens")
-    nodes = reps.filter("rep is not null").select("rep", F.posexplode("roots")).select(F.xxhash64("pos", "col").alias("node"), "rep")
-    if levels:
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-        sized = C.cut(C.hot_join(nodes, sizes, "node", "rep"), "nodes")
-        crowded = known.join(sized.filter(f"n > {leaf}").select("rep").distinct(), "rep")
-        nodes = sized.filter(f"n <= {leaf}").select("node", "rep").union(crowded.select(F.explode(_bands()).alias("node"), "rep"))
-    groups = _blocks(nodes, "node", most)
-    clusters = C.by_group(groups.join(known, "rep"), "node", _clusters(least), "cluster long, rep long")
-    clusters = _blocks(C.cut(clusters.distinct(), "clusters"), "cluster", most)
-    wanted = clusters.select(F.col("rep").alias("doc_id")).distinct()
-    source = docs.select("doc_id", "text").filter("doc_id is not null")
-    full = full_sets(C.semi(source, C.cut(wanted, "wanted"), "doc_id")).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
-    edges = C.cut(C.by_group(clusters.join(full, "rep"), "cluster", _verify(percent), "a long, b long").distinct(), "edges")
-    joined = components(edges)
-    of_class = reps.select("class_a", "class_b", "rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left").select(
-        F.struct("class_a", "class_b").alias("class"), F.coalesce("component", "rep").alias("component"))
-    named = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.struct("class_a", "class_b")).alias("class"))
-    out = C.hot_join(named.withColumn("spread", F.xxhash64(F.coalesce("doc_id", F.lit(0)))), of_class, "class", "spread", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+def _blocks(rows: DataFrame, group: str, most: int) -> DataFrame:
+    """rows (group, rep, label, n_shingles) -> (group, rep): groups whose rows have one label go; groups of a size over
+    ``most`` are cut into blocks, and every block meets every block of the rows that lack the group's commonest label."""
+    labels = rows.groupBy(group, "label").agg(F.count("*").alias("n"), F.sum(F.lit(1) + F.floor(F.col("n_shingles") / LONG)).alias("size"))
+    sizes = labels.groupBy(group).agg(F.sum("size").alias("size"), F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("usual"), (F.sum("size") - F.max_by("size", F.struct("n", "label"))).alias("rest")).filter("labels > 1")
+    sized = C.cut(C.hot_join(rows, sizes, group, "rep"), f"sized-{group}")
+    large = sized.filter(f"size > {most}")
+    count = lambda c: F.greatest(F.ceil(F.col(c) / F.lit(most // 2)), F.lit(1)).cast("long")
+    own = F.pmod(F.xxhash64(F.lit(99), group, "rep"), count("size"))
+    odd = F.pmod(F.xxhash64(F.lit(98), group, "rep"), count("rest"))
+    every = large.select(group, "rep", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), count("rest") - 1)).alias("odd"))
+    rest = large.filter("label <> usual").select(group, "rep", F.explode(F.sequence(F.lit(0).cast("long"), count("size") - 1)).alias("own"), odd.alias("odd"))
+    pairs = every.unionByName(rest).distinct().select(F.xxhash64(group, "own", "odd").alias(group), "rep")
+    return sized.filter(f"size <= {most}").select(group, "rep").union(pairs)
+
+
+def _verified(docs: DataFrame, reps: DataFrame, clusters: DataFrame, percent: int, name: str) -> DataFrame:
+    """a < b: links of (cluster, rep) rows, confirmed on the full sets of the reps."""
+    wanted = C.cut(reps.join(clusters.select("rep").distinct(), "rep", "left_semi").select("rep", "least_id", "class_a", "class_b"), f"wanted-{name}")
+    source = docs.select("doc_id", "text")
+    ids = C.cut(wanted.filter("least_id is not null").select(F.col("least_id").alias("doc_id")).distinct(), f"ids-{name}")
+    texts = C.semi(source.filter("doc_id is not null"), ids, "doc_id").select("text")
+    if wanted.filter("least_id is null").limit(1).count():
+        texts = texts.union(source.filter("doc_id is null").select("text"))
+    full = full_sets(texts).join(wanted.select("class_a", "class_b", "rep"), ["class_a", "class_b"]).select("rep", "full").dropDuplicates(["rep"])
+    return C.cut(C.by_group(clusters.join(full, "rep"), "cluster", _verify(percent), "a long, b long").distinct(), f"edges-{name}")
+
+
+def linked(docs: DataFrame, percent: int = 80, leaf: int = 1024, least: float = 0.6, most: int = 4096, row: str | None = None) -> DataFrame:
+    """doc_id, row, n_shingles, component (a number; null for empty sets) and component_id (its smallest doc_id): one row
+    for each row of docs.  See the module's text for the method."""
+    rows = C.cut(sketches(docs, row), "sketches")
+    sets = rows.filter("n_shingles > 0").groupBy("class_a", "class_b").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("roots").alias("roots"), F.first("tokens").alias("tokens"))
+    reps = C.cut(sets.withColumn("rep", F.monotonically_increasing_id()), "reps")
+    known = reps.select("rep", "tokens")
+    nodes = reps.select("rep", "n_shingles", F.posexplode("roots")).select(F.xxhash64("pos", "col").alias("node"), "rep", "n_shingles", F.col("pos").alias("tree"))
+    sized = C.cut(C.hot_join(nodes, _sizes(nodes, "node"), "node", "rep"), "nodes")
+    groups, crowded = sized.filter(f"size <= {leaf}").select("node", "rep"), sized.filter(f"size > {leaf}")
+    edges = None
+    if crowded.limit(1).count():
+        blocks = F.ceil(F.col("size") / F.lit(leaf)).cast("long")
+        dealt = crowded.filter(f"tree < {LED_TREES}").withColumn("at", F.pmod(F.xxhash64(F.lit(97), "node", "rep"), blocks))
+        dealt = C.cut(dealt.select("node", "at", "rep", F.xxhash64("node", "at").alias("block")).join(known, "rep"), "dealt")
+        centres = C.cut(C.by_group(dealt, "block", _centres(least), "node long, rep long, weight double"), "centres")
+        leaders = C.cut(C.by_group(centres.join(known, "rep"), "node", _leading(LEADERS), "node long, leader long"), "leaders")
+        led = dealt.select("node", "block").distinct().join(leaders, "node").select("block", F.col("leader").alias("rep")).join(known, "rep").withColumn("leads", F.lit(True))
+        own = dealt.select("block", "rep", "tokens").withColumn("leads", F.lit(False))
+        followers = C.by_group(own.unionByName(led), "block", _followers(least), "cluster long, rep long")
+        edges = _verified(docs, reps, C.cut(followers, "followers"), percent, "leaders")
+        label = components(edges).withColumnRenamed("id", "rep")
+        again = reps.join(crowded.select("rep").distinct(), "rep", "left_semi").join(label, "rep", "left")
+        again = again.select("rep", "n_shingles", F.coalesce("component", "rep").alias("label"), F.explode(_bands()).alias("node"))
+        groups = groups.union(_blocks(again, "node", most))
+    clusters = C.cut(C.by_group(groups.join(known, "rep"), "node", _clusters(least), "cluster long, rep long").distinct(), "clusters")
+    weighed = clusters.join(reps.select("rep", "n_shingles"), "rep").withColumn("label", F.col("rep"))
+    if edges is not None:
+        weighed = clusters.join(reps.select("rep", "n_shingles"), "rep").join(label, "rep", "left").select("cluster", "rep", "n_shingles", F.coalesce("component", "rep").alias("label"))
+    clusters = C.cut(_blocks(weighed, "cluster", most), "blocks")
+    found = _verified(docs, reps, clusters, percent, "clusters")
+    joined = components(found if edges is None else C.cut(found.union(edges).distinct(), "edges"))
+    named = C.cut(reps.select("class_a", "class_b", "least_id", "rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "named")
+    least_of = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    of_class = C.hot_join(named, least_of, "component", "rep").select(F.struct("class_a", "class_b").alias("class"), "component", "component_id")
+    out = rows.select("doc_id", "row", "n_shingles", F.when(F.col("n_shingles") > 0, F.struct("class_a", "class_b")).alias("class"))
+    out = C.hot_join(out.withColumn("spread", F.xxhash64(F.coalesce("doc_id", F.lit(0)))), of_class, "class", "spread", "left")
+    return out.select("doc_id", "row", "n_shingles", "component", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each row of docs; options are those of ``linked``."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    return linked(docs, **options).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """docs with one row of each component: that with the smallest doc_id (null last); rows without words all stay."""
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    numbered = C.cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = linked(numbered, row=row, **options)
+    first = found.filter("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    stay = first.select(F.col("first.row").alias(row)).union(found.filter("component is null").select(F.col("row").alias(row)))
+    return C.semi(numbered, C.cut(stay, "stay"), row, most=1_000_000).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
