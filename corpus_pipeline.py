@@ -4,12 +4,14 @@ Each stage takes (spark, docs, sf_dir), works on all its predecessor kept, and r
 Parquet and read again as the next one's docs.  All but the last return the columns of documents.
 
 Defined results: null and empty texts are scored like any other; a document without words is near nothing and stays
-unless its score is low; of equal rows one stays; rows without a doc_id stay once per distinct row; a document that the
-mix takes e times comes e times; an empty table gives empty stages; extra columns travel along.
+unless its score is low; rows are told apart by a number of their own, so that rows with one doc_id and different texts
+are different documents and of equal rows with words one stays; rows without a doc_id take part; a document that the mix
+takes e times comes e times; texts are read whole; an empty table gives empty stages; extra columns of any name and type
+travel along.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from postern.llm import common as C, op5_mix, op6_near_dup, op7_quality, op8_sentencepiece
 
@@ -21,18 +23,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of near copies stays."""
-    kept = op6_near_dup.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    known = C.semi(docs.filter("doc_id is not null"), C.cut(kept, "kept"), "doc_id", most=1_000_000).dropDuplicates(["doc_id"])
-    return known.union(docs.filter("doc_id is null").distinct())
+    return op6_near_dup.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    row = F.xxhash64(*[docs[f"`{c}`"] for c in docs.columns])
-    taken = op5_mix.mix(docs).groupBy("row").agg(F.sum(F.when(F.col("size") > 0, F.col("taken") / F.col("size"))).cast("int").alias("_times")).filter("_times > 0")
-    once = docs.withColumn("_row", row).dropDuplicates(["_row"])
-    often = once.join(taken.withColumnRenamed("row", "_row"), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return often.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return op5_mix.take(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
