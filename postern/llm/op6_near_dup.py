@@ -8,7 +8,7 @@ components come from the verified links alone.
 
 Larger nodes.  First leaders: in blocks of a node, the class that agrees most with the commonest tokens of its cluster
 is a centre; up to LEADERS centres of a node that are not near each other lead, and every class of the node is verified
-against them.  These links are kept, and give most classes of a group of near copies one label.  Then the classes of
+against the MATES of them that it agrees with most.  These links are kept, and give most classes of a group of near copies one label.  Then the classes of
 such nodes are dealt once more, by BANDS bands of ROWS tokens; that deal does not look at the node, so it costs a class
 the same in however many large nodes it stands.  A band whose classes have one label already has nothing to find and
 goes.  Others are compared as a whole or, beyond ``most``, block by block: every class that lacks the band's commonest
@@ -40,8 +40,9 @@ from . import common as C
 TOKENS, TREES = 128, 8
 #: Bands of the second deal, and the tokens of each.
 BANDS, ROWS = 20, 3
-#: Leaders of a large node, the trees whose large nodes get them, and the shingles that count as one more row of a block.
-LEADERS, LED_TREES, LONG = 16, 3, 2000
+#: Leaders of a large node, those that a row is verified against, the trees whose large nodes get them, and the shingles
+#: that count as one more row of a block.
+LEADERS, MATES, LED_TREES, LONG = 16, 2, 2, 2000
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -307,14 +308,18 @@ def _followers(least: float):
     def run(block: pa.RecordBatch) -> pa.RecordBatch | None:
         ids, tokens = _rows(block)
         led = np.unique(block.column("rep").to_numpy(zero_copy_only=False)[block.column("leads").to_numpy(zero_copy_only=False)])
-        need = math.ceil(least * tokens.shape[1])
+        same = np.array([np.count_nonzero(tokens == tokens[at], axis=1) for at in np.searchsorted(ids, led).tolist()])
+        if not len(led):
+            return None
+        # each row goes with the MATES leaders that it agrees with most
+        least_same = np.maximum(-np.partition(-same, min(MATES, len(led)) - 1, axis=0)[min(MATES, len(led)) - 1], math.ceil(least * tokens.shape[1]))
         clusters, reps = [], []
         key = np.uint64(block.column("block")[0].as_py() & MASK)
-        for at in np.searchsorted(ids, led).tolist():
-            hit = ids[np.count_nonzero(tokens == tokens[at], axis=1) >= need]
+        for leader, row in zip(led.tolist(), same):
+            hit = ids[(row >= least_same) | (ids == leader)]
             if len(hit) > 1:
                 with np.errstate(over="ignore"):
-                    name = _mix(np.array([key], np.uint64) ^ _mix(ids[at: at + 1].astype(np.int64).view(np.uint64)))
+                    name = _mix(np.array([key], np.uint64) ^ _mix(np.array([leader], np.int64).view(np.uint64)))
                 clusters.append(np.repeat(name.view(np.int64), len(hit)))
                 reps.append(hit)
         return pa.record_batch({"cluster": pa.array(np.concatenate(clusters)), "rep": pa.array(np.concatenate(reps), pa.int64())}) if reps else None
@@ -449,17 +454,19 @@ def linked(docs: DataFrame, percent: int = 80, leaf: int = 1024, least: float =
     groups, crowded = sized.filter(f"size <= {leaf}").select("node", "rep"), sized.filter(f"size > {leaf}")
     edges = None
     if crowded.limit(1).count():
+        few = C.cut(C.semi(reps, C.cut(crowded.select("rep").distinct(), "crowded"), "rep", most=1_000_000), "few")
+        own_tokens = few.select("rep", "tokens")
         blocks = F.ceil(F.col("size") / F.lit(leaf)).cast("long")
         dealt = crowded.filter(f"tree < {LED_TREES}").withColumn("at", F.pmod(F.xxhash64(F.lit(97), "node", "rep"), blocks))
-        dealt = C.cut(dealt.select("node", "at", "rep", F.xxhash64("node", "at").alias("block")).join(known, "rep"), "dealt")
+        dealt = C.cut(dealt.select("node", "at", "rep", F.xxhash64("node", "at").alias("block")).join(own_tokens, "rep"), "dealt")
         centres = C.cut(C.by_group(dealt, "block", _centres(least), "node long, rep long, weight double"), "centres")
-        leaders = C.cut(C.by_group(centres.join(known, "rep"), "node", _leading(LEADERS), "node long, leader long"), "leaders")
-        led = dealt.select("node", "block").distinct().join(leaders, "node").select("block", F.col("leader").alias("rep")).join(known, "rep").withColumn("leads", F.lit(True))
+        leaders = C.cut(C.by_group(centres.join(own_tokens, "rep"), "node", _leading(LEADERS), "node long, leader long"), "leaders")
+        led = dealt.select("node", "block").distinct().join(leaders, "node").select("block", F.col("leader").alias("rep")).join(own_tokens, "rep").withColumn("leads", F.lit(True))
         own = dealt.select("block", "rep", "tokens").withColumn("leads", F.lit(False))
         followers = C.by_group(own.unionByName(led), "block", _followers(least), "cluster long, rep long")
         edges = _verified(docs, reps, C.cut(followers, "followers"), percent, "leaders")
         label = components(edges).withColumnRenamed("id", "rep")
-        again = reps.join(crowded.select("rep").distinct(), "rep", "left_semi").join(label, "rep", "left")
+        again = few.join(label, "rep", "left")
         again = again.select("rep", "n_shingles", F.coalesce("component", "rep").alias("label"), F.explode(_bands()).alias("node"))
         groups = groups.union(_blocks(again, "node", most))
     clusters = C.cut(C.by_group(groups.join(known, "rep"), "node", _clusters(least), "cluster long, rep long").distinct(), "clusters")
