@@ -8,11 +8,33 @@ from pyspark.sql import Column, functions as F, types as T
 PERMUTATIONS, BANDS = 64, 16
 
 
+def utf16_units(c: Column) -> Column:
+    """The UTF-16 code units of a text."""
+    points = F.transform(F.split(c, ""), lambda ch: F.ascii(ch).cast("long"))
+    pairs = F.transform(points, lambda x: F.when(x < 65536, F.array(x)).otherwise(F.array(F.shiftright(x - 65536, 10) + 0xD800, (x - 65536) % 1024 + 0xDC00)))
+    return F.when(F.length(c) > 0, F.flatten(pairs)).otherwise(F.array().cast("array<bigint>"))
+
+
 def fnv1a32(c: Column) -> Column:
-    """FNV-1a over the code points, 32 bits."""
-    codes = F.transform(F.split(c, ""), lambda ch: F.ascii(ch).cast("long"))
-    codes = F.when(F.length(c) > 0, codes).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, x: F.pmod(h.bitwiseXOR(x) * F.lit(16777619), F.lit(4294967296)))
+    """FNV-1a over the UTF-16 code units, 32 bits."""
+    return F.aggregate(utf16_units(c), F.lit(2166136261).cast("long"), lambda h, x: F.pmod(h.bitwiseXOR(x) * F.lit(16777619), F.lit(4294967296)))
+
+
+def times32(a: Column, by: Column | int) -> Column:
+    """The low 32 bits of a product of two numbers below 2^32, by halves so that nothing overflows."""
+    by = F.lit(by) if isinstance(by, int) else by
+    high = F.shiftright(a, 16) * by % 65536
+    return ((a % 65536) * by + high * 65536) % F.lit(4294967296)
+
+
+def cyrb53(c: Column) -> Column:
+    """A 53-bit hash over the UTF-16 code units, as 14 hex digits."""
+    units = utf16_units(c)
+    run = lambda start, by: F.aggregate(units, F.lit(start).cast("long"), lambda h, x: times32(h.bitwiseXOR(x), by))
+    one, two = run(0xDEADBEEF, 2654435761), run(0x41C6CE57, 1597334677)
+    first = times32(one.bitwiseXOR(F.shiftright(one, 16)), 2246822507).bitwiseXOR(times32(two.bitwiseXOR(F.shiftright(two, 13)), 3266489909))
+    second = times32(two.bitwiseXOR(F.shiftright(two, 16)), 2246822507).bitwiseXOR(times32(first.bitwiseXOR(F.shiftright(first, 13)), 3266489909))
+    return F.lpad(F.lower(F.hex(second % 2097152 * F.lit(4294967296) + first)), 14, "0")
 
 
 def _fnv(text: str, start: int = 2166136261) -> int:

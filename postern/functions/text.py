@@ -1,8 +1,13 @@
 """Text functions on columns: templates, tokens, phones, wallets, defanging."""
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import re
+import unicodedata
 
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
+
+#: Patterns of what changes from one message of a template to the next.
 URL = r"(?i)https?://\S+"
 EMAIL = r"[\w.+-]+@[\w-]+\.[\w.-]+"
 DATE = r"\b\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}\b"
@@ -23,16 +28,91 @@ def truncate(c: Column, n: int) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n - 1), F.lit("…"))).otherwise(c)
 
 
+#: Zero-width characters, soft hyphens and joiners, tag characters, variation selectors.
+ZERO_WIDTH = r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{00AD}\x{034F}\x{180E}\x{E0000}-\x{E007F}\x{E0100}-\x{E01EF}]"
+STYLED = r"[\x{1D400}-\x{1D7FF}]"
+#: Cherokee letters that look like Latin ones.
+LOOK_ALIKES = {
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭵ": "i", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+}
+_DROPPED = re.compile("[\u200b-\u200d\u2060\ufeff\u00ad\u034f\u180e\U000e0000-\U000e007f\U000e0100-\U000e01ef]")
+_SEEN_AS = str.maketrans(LOOK_ALIKES)
+
+
 def invisible(c: Column) -> Column:
-    """Number of zero-width, directional and tag characters."""
-    return F.regexp_count(c, F.lit(r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}\x{00AD}\x{FE00}-\x{FE0F}\x{E0000}-\x{E007F}]"))
+    """Number of zero-width, joining, tag and selector characters."""
+    return F.regexp_count(c, F.lit(ZERO_WIDTH)).cast("int")
 
 
-def tokens(c: Column) -> Column:
+def styled(c: Column) -> Column:
+    """Number of mathematical letters that stand for plain ones."""
+    return F.regexp_count(c, F.lit(STYLED)).cast("int")
+
+
+@F.pandas_udf(T.StringType())
+def _compatible(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", _DROPPED.sub("", x).translate(_SEEN_AS)))
+
+
+@F.pandas_udf(T.StringType())
+def _unaccented(texts: pd.Series) -> pd.Series:
+    def one(x: str | None) -> str | None:
+        if x is None or x.isascii():
+            return x
+        x = unicodedata.normalize("NFKC", _DROPPED.sub("", x).translate(_SEEN_AS))
+        return _DROPPED.sub("", "".join([ch for ch in unicodedata.normalize("NFKD", x) if not "\u0300" <= ch <= "\u036f"]))
+    return texts.map(one)
+
+
+def deobfuscate(c: Column) -> Column:
+    """Without invisible characters, look-alikes and compatibility forms folded.  Spark has no normal forms: Python, in
+    Arrow batches, which hands plain ASCII through."""
+    return _compatible(c)
+
+
+def normalize(c: Column) -> Column:
+    """Deobfuscated, without accents, lower, with straight quotes and single white space."""
+    return F.regexp_replace(F.translate(F.lower(_unaccented(c)), "\u2019\u2018`\u00b4", "''''"), r"\s+", " ")
+
+
+def split_words(c: Column) -> Column:
     """Lower-case runs of letters and digits, 2 to 39 characters long."""
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: (F.length(t) > 1) & (F.length(t) < 40))
 
 
+def tokens(c: Column) -> Column:
+    """Runs of letters and digits of the normalised text, 2 to 39 characters long."""
+    return F.filter(F.split(normalize(c), r"[^\p{L}\p{N}]+"), lambda t: (F.length(t) > 1) & (F.length(t) < 40))
+
+
+def holds_phrase(normal: Column, phrase: str) -> Column:
+    """Whether a normalised text holds a phrase between what are no letters or digits, with any white space inside."""
+    words = r"\s+".join(re.escape(w) for w in phrase.split())
+    return normal.rlike(rf"(?:^|[^\p{{L}}\p{{N}}]){words}(?:$|[^\p{{L}}\p{{N}}])")
+
+
+#: Short words of common languages that are no fragments.
+SHORT_WORDS = (
+    "a i to of in on is it at be by or as an we my me no so up do go he us if am pm "
+    "de la el en y e o da do em um se lo le du et il di un zu im es er ab ok tv id").split()
+#: Common English function words.
+ENGLISH = "the and you your to of a in is for on that this with be are we it as have our will please from by at or an if not can has been was any all more account thank".split()
+
+
+def fragment_share(c: Column) -> Column:
+    """The share of words of one or two letters that are no short words; null under 25 words."""
+    words = F.filter(F.split(F.lower(c), r"[^\p{L}]+"), lambda w: w != "")
+    return F.when(F.size(words) >= 25, F.size(F.filter(words, lambda w: (F.length(w) <= 2) & ~w.isin(SHORT_WORDS))) / F.size(words))
+
+
+def language(c: Column) -> Column:
+    """en by its function words, else by the script; unknown under five tokens."""
+    words = tokens(c)
+    share = F.size(F.filter(words, lambda w: w.isin(ENGLISH))) / F.size(words)
+    other = F.when(c.rlike(r"\p{IsDevanagari}"), "hi").when(c.rlike(r"\p{IsCyrillic}"), "ru").when(c.rlike(r"\p{IsHan}"), "zh").when(c.rlike(r"\p{IsArabic}"), "ar").otherwise("other")
+    return F.when(F.size(words) < 5, "unknown").when(share >= 0.08, "en").otherwise(other)
+
+
 def shingles(words: Column, size: int = 3, most: int | None = 4000) -> Column:
     """Distinct runs of size tokens, at most ``most`` (None: all); fewer tokens make one shingle."""
     runs = F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.array_join(F.slice(words, i + 1, size), " "))
@@ -68,10 +148,15 @@ def normal_phone(c: Column) -> Column:
     return F.when(F.length(digits).between(7, 15), F.concat(F.when(F.trim(c).startswith("+"), F.lit("+")).otherwise(F.lit("")), digits))
 
 
+#: Fixed value: how telephone numbers are written.
+PHONE = r"(?:\+\d{1,3}[\s.-]?)?(?:\(\d{2,4}\)[\s.-]?)?\d{3,5}[\s.-]\d{3,4}[\s.-]?\d{0,4}"
+
+
 def phones(c: Column, most: int = 5) -> Column:
-    """Digit runs of 10 to 15 digits, normalised, distinct, at most ``most``."""
-    found = F.transform(F.regexp_extract_all(c, F.lit(r"\+?[0-9][0-9 ().-]{8,18}[0-9]"), F.lit(0)), lambda p: F.regexp_replace(p, r"[^0-9]", ""))
-    return F.slice(F.array_distinct(F.filter(found, lambda d: F.length(d).between(10, 15))), 1, most)
+    """Telephone numbers as they stand, of 10 to 15 digits and not eight that begin like a year; distinct, ``most`` at most."""
+    digits = lambda p: F.regexp_replace(p, r"\D", "")
+    found = F.filter(F.regexp_extract_all(c, F.lit(PHONE), F.lit(0)), lambda p: F.length(digits(p)).between(10, 15) & ~digits(p).rlike(r"^(19|20)\d{6}$"))
+    return F.slice(F.array_distinct(F.transform(found, collapse)), 1, most)
 
 
 def emails(c: Column) -> Column:

@@ -43,7 +43,7 @@ def fnt02_truncate(spark, d):
     return t(spark, d, "documents").select("doc_id", text.truncate(F.col("text"), 80).alias("head"))
 
 
-@query(r"SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: length(x) > 1 AND length(x) < 40)) AS n, len(list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: length(x) > 1 AND length(x) < 40))) AS distinct_n FROM documents")
+@query(r"SELECT doc_id, len(w) AS n, len(list_distinct(w)) AS distinct_n FROM (SELECT doc_id, list_filter(string_split_regex(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda x: length(x) > 1 AND length(x) < 40) AS w FROM documents)")
 def fnt06_tokens(spark, d):
     words = t(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("w"))
     return words.select("doc_id", F.size("w").alias("n"), F.size(F.array_distinct("w")).alias("distinct_n"))
@@ -67,9 +67,11 @@ def fnt16_coarse_intent(spark, d):
     return t(spark, d, "documents").select("doc_id", text.coarse_intent(F.col("text")).alias("intent"))
 
 
-@query(r"""SELECT doc_id, array_to_string(list_sort(list_slice(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\+?[0-9][0-9 ().-]{8,18}[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda x: length(x) BETWEEN 10 AND 15)), 1, 500)), ',') AS phones FROM documents""")
+@query(r"""SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(text, '(?:\+\d{1,3}[\s.-]?)?(?:\(\d{2,4}\)[\s.-]?)?\d{3,5}[\s.-]\d{3,4}[\s.-]?\d{0,4}'),
+lambda p: length(regexp_replace(p, '\D', '', 'g')) BETWEEN 10 AND 15 AND NOT regexp_matches(regexp_replace(p, '\D', '', 'g'), '^(19|20)\d{6}$')), lambda p: trim(regexp_replace(p, '\s+', ' ', 'g'))))), ','), '') AS phones FROM documents WHERE text IS NOT NULL""")
 def fnt17_phones(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(text.phones(F.col("text"), 500)), ",").alias("phones"))
+    """All numbers of a text: the operator's own limit of five is left to its callers."""
+    return t(spark, d, "documents").filter("text is not null").select("doc_id", F.array_join(F.array_sort(text.phones(F.col("text"), 1_000_000)), ",").alias("phones"))
 
 
 @query(r"""SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z0-9]'), lambda x: lower(x)))) AS email FROM documents""")
@@ -77,7 +79,7 @@ def fnt17_emails(spark, d):
     return t(spark, d, "documents").select("doc_id", F.explode(text.emails(F.col("text"))).alias("email"))
 
 
-@query("""SELECT doc_id, round(len(list_filter(w, lambda x: x IN ('the','of','and','to','in','is','that','for','with'))) / len(w), 9) AS share FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) > 1 AND length(x) < 40) AS w FROM documents) WHERE len(w) >= 5""".replace("\\\\", "\\"))
+@query("""SELECT doc_id, round(len(list_filter(w, lambda x: x IN ('the','of','and','to','in','is','that','for','with'))) / len(w), 9) AS share FROM (SELECT doc_id, list_filter(string_split_regex(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda x: length(x) > 1 AND length(x) < 40) AS w FROM documents) WHERE len(w) >= 5""".replace("\\\\", "\\"))
 def fnt19_language_guess(spark, d):
     share = text.english_share(text.tokens(F.col("text")), ["the", "of", "and", "to", "in", "is", "that", "for", "with"])
     return t(spark, d, "documents").select("doc_id", F.round(share, 9).alias("share")).filter("share is not null")

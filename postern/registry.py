@@ -5,9 +5,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postern.plans import mail, relational, textual
+from postern.plans import catalogue, mail, relational, scalar, textual
 
-_PLANS = (relational, textual, mail)
+_PLANS = (relational, catalogue, textual, scalar, mail)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _PLANS for k, v in m.QUERIES.items()}
 ORACLE: dict[str, str] = {k: v for m in _PLANS for k, v in m.ORACLE.items()}
 FLAGSHIP = textual.campaign_tracing
