@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 PERMUTATIONS, BANDS = 64, 16
@@ -37,11 +38,40 @@ def cyrb53(c: Column) -> Column:
     return F.lpad(F.lower(F.hex(second % 2097152 * F.lit(4294967296) + first)), 14, "0")
 
 
-def _fnv(text: str, start: int = 2166136261) -> int:
-    h = start
-    for x in memoryview(text.encode("utf-16-le")).cast("H"):
-        h = ((h ^ x) * 16777619) & 0xFFFFFFFF
-    return h
+def _fnv(texts: pa.Array, *starts: int) -> list[np.ndarray]:
+    """FNV-1a over the UTF-16 units of every text, from each starting point: one unit of all texts a step."""
+    texts = texts.cast(pa.large_string()).fill_null("") if len(texts) else pa.array([], pa.large_string())
+    if not len(texts):
+        return [np.zeros(0, np.uint32) for _ in starts]
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset: texts.offset + len(texts) + 1]
+    raw = (data.to_pybytes() if data is not None else b"")[at[0]: at[-1]]
+    at = at - at[0]
+    if raw.isascii():
+        units = np.frombuffer(raw, np.uint8)
+    else:
+        lead = np.frombuffer(raw, np.uint8)
+        at = np.concatenate(([0], np.cumsum((lead & 0xC0 != 0x80).astype(np.int64) + (lead >= 0xF0))))[at]
+        units = np.frombuffer(raw.decode("utf-8", "surrogatepass").encode("utf-16-le", "surrogatepass"), np.uint16)
+    size = np.diff(at)
+    order = np.argsort(-size, kind="stable")
+    first, active = at[:-1][order], np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), side="left").tolist()
+    out = []
+    for start in starts:
+        h = np.full(len(texts), start, np.uint32)
+        for step, n in enumerate(active):
+            h[:n] ^= units[first[:n] + step]
+            h[:n] *= np.uint32(16777619)
+        back = np.empty_like(h)
+        back[order] = h
+        out.append(back)
+    return out
+
+
+def _rows(features: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All strings of a column of string lists, the number in each row, and the rows that have any."""
+    n = features.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return features.flatten(), n, np.flatnonzero(n)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -54,29 +84,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
 SEEDS = _mix(np.uint32(0x9E3779B9) + np.arange(PERMUTATIONS, dtype=np.uint32) * np.uint32(0x632BE5AB))
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def minhash(features: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def minhash(features: pa.Array) -> pa.Array:
     """64 minima for each array of strings; zeros for an empty or null one."""
-    def one(items) -> list[int]:
-        if items is None or not len(items):
-            return [0] * PERMUTATIONS
-        base = np.array([_fnv(x) for x in items], np.uint32)
-        return _mix(base[:, None] ^ SEEDS[None, :]).min(0).astype(np.int64).tolist()
-    return features.map(one)
+    flat, n, some = _rows(features)
+    out = np.zeros((len(n), PERMUTATIONS), np.int64)
+    if len(some):
+        base, first = _fnv(flat, 2166136261)[0], (np.cumsum(n) - n)[some]
+        for j, seed in enumerate(SEEDS):
+            out[some, j] = np.minimum.reduceat(_mix(base ^ seed), first)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * PERMUTATIONS), pa.array(out.ravel()))
 
 
-@F.pandas_udf(T.StringType())
-def simhash(features: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def simhash(features: pa.Array) -> pa.Array:
     """64-bit SimHash as 16 hex digits, the high half first."""
-    def one(items) -> str:
-        items = [] if items is None else items
-        out = []
-        for start in (0x01000193 ^ 0x5BD1E995, 2166136261):
-            h = np.array([_fnv(x, start) for x in items], np.uint32)
-            votes = ((h[:, None] >> np.arange(32, dtype=np.uint32)) & 1).astype(int) * 2 - 1
-            out.append(f"{sum(1 << i for i, v in enumerate(votes.sum(0).tolist()) if v > 0):08x}")
-        return "".join(out)
-    return features.map(one)
+    flat, n, some = _rows(features)
+    halves = np.zeros((len(n), 2), np.uint32)
+    if len(some):
+        first = (np.cumsum(n) - n)[some]
+        for half, h in enumerate(_fnv(flat, 0x01000193 ^ 0x5BD1E995, 2166136261)):
+            for bit in range(32):
+                ones = np.add.reduceat((h >> np.uint32(bit)) & np.uint32(1), first, dtype=np.int64)
+                halves[some, half] |= (2 * ones > n[some]).astype(np.uint32) << np.uint32(bit)
+    return pa.array([f"{a:08x}{b:08x}" for a, b in halves.tolist()])
 
 
 def murmur3_32(data: bytes, seed: int = 0) -> int:

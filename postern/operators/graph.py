@@ -12,7 +12,10 @@ def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the session's folder, or (where none is set, as in tests) in one of its own."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="postern-"))
+        folder = context.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="postern-"))
     return df.checkpoint()
 
 

@@ -227,7 +227,7 @@ def fnm08_markup_counts(spark, d):
 @query()
 def campaign_tracing(spark, d):
     """Near-duplicate campaigns: tokens, shingles, MinHash, band blocking, verification on sketches, components, statistics."""
-    return campaigns(sketches(spark, d))
+    return campaigns(graph.cut(sketches(spark, d)))
 
 
 def campaigns(s: DataFrame) -> DataFrame:
