@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir", None) or spark.conf.get("postern.shared.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="postern-")
         spark.conf.set("postern.shared.dir", base)
     return base.rstrip("/")
@@ -83,6 +86,18 @@ def semi(rows: DataFrame, ids: DataFrame, key: str, most: int = 2_000_000) -> Da
     return rows.join(F.broadcast(ids) if few else ids, key, "left_semi")
 
 
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; then freed memory goes back to the system, as Python workers live on between tasks."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 def text_buffer(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the n + 1 offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -153,4 +168,4 @@ def by_group(df: DataFrame, key: str, run: Callable[[pa.RecordBatch], pa.RecordB
         if out:
             yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
-    return df.repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(apply, schema)
+    return df.repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(lambda batches: tidy(apply(batches)), schema)

@@ -180,7 +180,7 @@ def sketches(docs: DataFrame, row: str | None = None) -> DataFrame:
 
     number = F.col(f"`{row}`") if row else F.lit(None)
     schema = "doc_id long, n_shingles long, class_a long, class_b long, roots array<long>, tokens array<smallint>, row long"
-    return docs.select("doc_id", "text", number.cast("long").alias("row")).mapInArrow(run, schema)
+    return docs.select("doc_id", "text", number.cast("long").alias("row")).mapInArrow(lambda batches: C.tidy(run(batches)), schema)
 
 
 def _class(value: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +206,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
             full = pa.array([raw[8 * x: 8 * y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
             yield pa.record_batch({"class_a": pa.array(a.view(np.int64)), "class_b": pa.array(b.view(np.int64)), "full": full})
 
-    return docs.select("text").mapInArrow(run, "class_a long, class_b long, full binary")
+    return docs.select("text").mapInArrow(lambda batches: C.tidy(run(batches)), "class_a long, class_b long, full binary")
 
 
 def _find(parent: list[int], x: int) -> int:
@@ -334,7 +334,7 @@ def links_of(sets: list[np.ndarray], percent: int = 80) -> list[int]:
     parent = list(range(n))
     sizes = np.array([len(x) for x in sets])
     at = np.concatenate(([0], np.cumsum(sizes)))
-    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
     mark = np.zeros(int(codes.max()) + 1 if len(codes) else 1, np.int32)
     root = np.arange(n)
     for i in range(n - 1):
@@ -442,7 +442,7 @@ def _verified(docs: DataFrame, reps: DataFrame, clusters: DataFrame, percent: in
     return C.cut(C.by_group(clusters.join(full, "rep"), "cluster", _verify(percent), "a long, b long").distinct(), f"edges-{name}")
 
 
-def linked(docs: DataFrame, percent: int = 80, leaf: int = 1024, least: float = 0.6, most: int = 4096, row: str | None = None) -> DataFrame:
+def linked(docs: DataFrame, percent: int = 80, leaf: int = 1024, least: float = 0.6, most: int = 2048, row: str | None = None) -> DataFrame:
     """doc_id, row, n_shingles, component (a number; null for empty sets) and component_id (its smallest doc_id): one row
     for each row of docs.  See the module's text for the method."""
     rows = C.cut(sketches(docs, row), "sketches")

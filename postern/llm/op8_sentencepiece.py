@@ -163,7 +163,7 @@ def encode(docs: DataFrame, n: int = N_BEST, model: str = unigram.MODEL) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = unigram.lattice(model)
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("score", pa.float64()), ("ids_sha256", pa.string()), ("n_best", pa.list_(pa.float64())), ("round_trip", pa.bool_()), ("ids", pa.list_(pa.list_(pa.int32())))])
-        for batch in C.slices(batches, "text", 2 << 20):
+        for batch in C.slices(batches, "text", 1 << 20):
             data, at = C.text_buffer(batch.column("text"))
             chunks = [lattice.chunk.findall(lattice.normal(text or "")) for text in batch.column("text").to_pylist()]
             learn(lattice, set().union(*chunks))
@@ -180,7 +180,7 @@ def encode(docs: DataFrame, n: int = N_BEST, model: str = unigram.MODEL) -> Data
             if rows:
                 yield pa.record_batch([*[pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], _nested(every)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: C.tidy(run(batches)), SCHEMA)
 
 
 def decode(rows: DataFrame, model: str = unigram.MODEL) -> DataFrame:

@@ -23,7 +23,7 @@ import numpy as np
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN = 10.0
-MOST_KEPT = 400_000
+MOST_KEPT = 240_000
 MOST_PATHS = 20_000
 #: Chunks of more characters are cut into parts where no piece can reach across.
 LONG = 64
