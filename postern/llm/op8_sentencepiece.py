@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common as C, unigram
 
 N_BEST = 4
+#: Bytes of ids after which a batch goes out.
+MOST_OUT = 2 << 20
 SCHEMA = "doc_id long, n_tokens long, score double, ids_sha256 string, n_best array<double>, round_trip boolean, ids array<array<int>>"
 
 
@@ -168,15 +170,19 @@ def encode(docs: DataFrame, n: int = N_BEST, model: str = unigram.MODEL) -> Data
             chunks = [lattice.chunk.findall(lattice.normal(text or "")) for text in batch.column("text").to_pylist()]
             learn(lattice, set().union(*chunks))
             known = lattice.best.__getitem__
-            rows, every = [], []
+            rows, every, held = [], [], 0
             for doc, a, b, own in zip(batch.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), chunks):
                 entries = list(map(known, own))
                 score = sum([e[0] for e in entries], 0.0)
                 best = combine(lattice, own, entries, n)
                 ids = best[0][1]
                 every.append([x for _, x in best])
+                held += len(ids) * len(best)
                 back = lattice.decode_bytes(np.frombuffer(ids, np.int32))[0]
                 rows.append((doc, len(ids) // 4, score, hashlib.sha256(ids).hexdigest(), [score - loss for loss, _ in best], bool(np.array_equal(back[1:] if len(back) else back, data[a:b]))))
+                if held > MOST_OUT:
+                    yield pa.record_batch([*[pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], _nested(every)], schema=schema)
+                    rows, every, held = [], [], 0
             if rows:
                 yield pa.record_batch([*[pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], _nested(every)], schema=schema)
 
