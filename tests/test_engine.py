@@ -29,6 +29,8 @@ def test_murmur3():
     (lambda: net.host_candidates(F.lit("www.a.b.evil.co.uk")), ["a.b.evil.co.uk", "b.evil.co.uk", "evil.co.uk"]),
     (lambda: net.registrable(F.lit("a.b.example.org")), "example.org"),
     (lambda: net.url_template(F.lit("https://a.example.org/links/Ab3dEf9hIj2k/42?b=1&A=2")), "example.org/links/{tok}/{n}?a&b"),
+    (lambda: net.url_template(F.lit("https://example.org/qwertyuiopasd/a%40b/100%/x+y")), "example.org/{tok}/{email}/{n}%/x+y"),
+    (lambda: net.url_template(F.lit("https://example.org/oooooooooooo/%34%32")), "example.org/oooooooooooo/{n}"),
     (lambda: text.templatize(F.lit("Invoice #INV-20931 due 21/09/2026"), False), "invoice #inv-{n} due {date}"),
     (lambda: text.collapse(F.lit(" a \n b ")), "a b"),
     (lambda: text.normal_phone(F.lit("+1 (323) 555-9830")), "+13235559830"),
@@ -80,6 +82,26 @@ def test_golden_mail(analysed, name):
     assert (row["class"] in ("malicious", "suspicious")) == (verdict != "safe") and 1 <= row.score <= 99
 
 
+def test_route_and_trust(spark):
+    """Hand-off to the receiver, the oldest public address without one, and who wrote the results."""
+    hop = "idx int, from_host string, ip string, by_host string, at_ms long"
+    rows = spark.createDataFrame([
+        ("hand-off", [(0, "relay.corp.example", "10.0.0.4", "store.corp.example", None), (1, "mx.out.example", "203.0.114.9", "mx.corp.example", None), (2, "forged.example", "198.52.100.1", "mx.corp.example", None)], [("authentication-results", "mx.corp.example; dmarc=pass")]),
+        ("own-public", [(0, "a.corp.example", "203.0.114.1", "b.corp.example", None), (1, "client.example.net", "203.0.114.77", "[10.0.0.9]", None)], [("authentication-results", "evil.example.net; dmarc=pass")]),
+        ("oldest", [(0, "x.corp.example", "203.0.114.5", "y.corp.example", None), (1, "n.example.net", "203.0.114.6", "other.example.org", None), (2, "n.example.net", "203.0.114.7", "third.example.org", None)], []),
+        ("provider", [(0, "r.google.com", "203.0.114.8", "mx.corp.example", None)], [("authentication-results", " mx.corp.example 1; spf=pass"), ("authentication-results", "x")]),
+        ("none", [], []), ("null", None, None),
+    ], f"name string, received array<struct<{hop}>>, headers array<struct<key:string,value:string>>")
+    receiver = rules.receiver_org(F.col("received"))
+    got = {r.name: (r.o, r.t) for r in rows.select("name", rules.origin_ip(F.col("received"), receiver).alias("o"), rules.auth_trusted(F.col("headers"), receiver).alias("t")).collect()}
+    assert got == {"hand-off": ("203.0.114.9", True), "own-public": ("203.0.114.77", False), "oldest": ("203.0.114.7", False), "provider": ("203.0.114.8", True), "none": (None, False), "null": (None, False)}
+
+
+def test_trust_scales_the_pass(analysed):
+    weight = {f.id: f.weight for f in analysed["newsletter"].findings}
+    assert weight["auth.dmarc-pass"] == -0.6 and analysed["newsletter"].origin_ip == "203.0.113.9"
+
+
 def test_containers(spark, tmp_path):
     one = CASES["bank"][0]
     (tmp_path / "a.eml").write_bytes(one)
