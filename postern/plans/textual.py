@@ -193,16 +193,9 @@ def join18_fallback_chain(spark, d):
     return joins.fallback_join(p, "page_id", stages).select("page_id", "match_type", "matched")
 
 
-@query("""WITH w AS (SELECT doc_id, source, list_distinct(string_split(lower(text), ' ')) AS w FROM documents WHERE length(text) < 700)
-SELECT x.doc_id AS a, y.doc_id AS b, round(len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))), 9) AS j FROM w x JOIN w y ON x.source = y.source AND x.doc_id < y.doc_id""")
-def set01_jaccard_pairs(spark, d):
-    """Jaccard of short texts within a source."""
-    w = t(spark, d, "documents").filter("length(text) < 700").select("doc_id", "source", F.array_distinct(F.split(F.lower("text"), " ")).alias("w"))
-    pairs = w.alias("x").join(w.alias("y"), (F.col("x.source") == F.col("y.source")) & (F.col("x.doc_id") < F.col("y.doc_id")))
-    return pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.round(similarity.jaccard(F.col("x.w"), F.col("y.w")), 9).alias("j"))
-
-
-@query()
+@query("""WITH w AS (SELECT doc_id, source, list_distinct(string_split(lower(text), ' ')) AS w FROM documents WHERE text IS NOT NULL),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, x.w AS wa, y.w AS wb FROM w x JOIN w y ON x.source = y.source AND x.doc_id < y.doc_id AND least(len(x.w), len(y.w)) >= 0.8 * greatest(len(x.w), len(y.w)))
+SELECT * FROM (SELECT a, b, round(len(list_intersect(wa, wb)) / len(list_distinct(list_concat(wa, wb))), 9) AS j FROM p) WHERE j >= 0.8""")
 def set01_jaccard_documents(spark, d):
     """Every pair of documents of a source with a Jaccard of 0.8 or more, over whole texts of any length: such a pair
     shares a word among the rarest fifth (and one) of either side, so that the candidates hold all of them."""
