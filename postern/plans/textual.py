@@ -197,18 +197,9 @@ def join18_fallback_chain(spark, d):
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, x.w AS wa, y.w AS wb FROM w x JOIN w y ON x.source = y.source AND x.doc_id < y.doc_id AND least(len(x.w), len(y.w)) >= 0.8 * greatest(len(x.w), len(y.w)))
 SELECT * FROM (SELECT a, b, round(len(list_intersect(wa, wb)) / len(list_distinct(list_concat(wa, wb))), 9) AS j FROM p) WHERE j >= 0.8""")
 def set01_jaccard_documents(spark, d):
-    """Every pair of documents of a source with a Jaccard of 0.8 or more, over whole texts of any length: such a pair
-    shares a word among the rarest fifth (and one) of either side, so that the candidates hold all of them."""
-    w = graph.cut(t(spark, d, "documents").filter("text is not null").select("doc_id", "source", F.array_distinct(F.split(F.lower("text"), " ")).alias("w")))
-    words = w.select("doc_id", "source", F.explode("w").alias("word"))
-    counted = words.join(words.groupBy("word").agg(F.count("*").alias("n")), "word")
-    ranked = counted.groupBy("doc_id", "source").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("r"))
-    keys = ranked.select("doc_id", "source", F.explode(F.slice("r", F.lit(1), (F.size("r") - F.ceil(F.size("r") * 4 / 5) + 1).cast("int"))).alias("k")).select("doc_id", "source", "k.word")
-    x, y = (keys.select(F.col("doc_id").alias(c), "source", "word") for c in "ab")
-    pairs = x.join(y, ["source", "word"]).filter("a < b").select("a", "b").distinct()
-    side = lambda c: w.select(F.col("doc_id").alias(c), F.col("w").alias(f"w{c}"))
-    j = similarity.jaccard(F.col("wa"), F.col("wb"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.round(j, 9).alias("j")).filter("j >= 0.8")
+    """Every pair of documents of a source with a Jaccard of 0.8 or more, over whole texts of any length."""
+    pairs = similarity.similar_pairs(t(spark, d, "documents"), "source", F.split(F.lower("text"), " "))
+    return pairs.select("a", "b", F.round("j", 9).alias("j")).filter("j >= 0.8")
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<a ')) AS anchors, len(regexp_extract_all(html, '<script')) AS scripts, len(regexp_extract_all(html, '<form')) AS forms, len(regexp_extract_all(html, '<p>')) AS paragraphs FROM pages")

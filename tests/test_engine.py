@@ -240,6 +240,36 @@ def test_jaccard_of_whole_texts(spark, tmp_path):
     assert got == want and (901, 902) in want and len(want) > 20
 
 
+def test_jaccard_shuffles_less_than_its_texts(spark, tmp_path):
+    r = random.Random(5)
+    rows = [(i, " ".join(f"w{r.randrange(40_000)}" for _ in range(300)), f"s{i % 2}") for i in range(1500)]
+    rows += [(1500 + i, rows[0][1] + f" more{i}", "s0") for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    assert textual.set01_jaccard_documents(spark, str(tmp_path)).count() == 201 * 200 // 2
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert written() - before < 2 * sum(len(x) for _, x, _ in rows)
+
+
+def test_jaccard_of_odd_rows(spark, tmp_path):
+    """Ids that stand in several sources, repeated rows, missing ids and sources, long sets, sets split over tiles."""
+    base = [f"w{i}" for i in range(200)]
+    text = lambda *gone: " ".join(x for i, x in enumerate(base) if i not in gone)
+    rows = [(1, text(), "a"), (2, text(3), "a"), (2, text(), "b"), (3, text(5), "b"), (3, "another text", "a"), (4, text(7), "a"), (4, text(7), "a"), (None, text(), "a"), (5, text(), None), (6, text(), None), (7, None, "a")]
+    rows += [(8, text(*range(40)), "a"), (9, text(*range(41)), "a"), (10, "  x", "c"), (11, "x ", "c"), (12, " ".join(f"v{i}" for i in range(9000)), "c"), (13, " ".join(f"v{i}" for i in range(8000)), "c")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = [(i, s, set(x.split(" "))) for i, x, s in rows if None not in (i, x, s)]
+    want = sorted((i, k, round(len(x & y) / len(x | y), 9)) for i, s, x in sets for k, u, y in sets if i < k and s == u and 10 * len(x & y) >= 8 * len(x | y))
+    got = lambda: sorted(tuple(p) for p in textual.set01_jaccard_documents(spark, str(tmp_path)).collect())
+    assert got() == want and (1, 8, 0.8) in want and (1, 9) not in {p[:2] for p in want} and (12, 13, 0.888888889) in want
+    kept, similarity.TILE_WORDS = similarity.TILE_WORDS, 300
+    try:
+        assert got() == want
+    finally:
+        similarity.TILE_WORDS = kept
+
+
 def test_templates_of_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, "word " * 100 + "see https://x.example/a on 01/02/2024")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     (r,) = textual.fnt07_templates(spark, str(tmp_path)).collect()
