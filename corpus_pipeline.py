@@ -8,6 +8,9 @@ unless its score is low; rows are told apart by a number of their own, so that r
 are different documents and of equal rows with words one stays; rows without a doc_id take part; a document that the mix
 takes e times comes e times; texts are read whole; an empty table gives empty stages; extra columns of any name and type
 travel along.
+
+Memory: the stages set spark.sql.execution.arrow.maxBytesPerBatch to 2 MB for the session, so that Spark and a Python
+worker hold a few texts at a time; a worker that leaves the encoder drops its piece tables.
 """
 from __future__ import annotations
 
@@ -18,11 +21,13 @@ from postern.llm import common as C, op5_mix, op6_near_dup, op7_quality, op8_sen
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under the threshold go."""
+    C.small_batches(spark)
     return op7_quality.keep_good(docs, op7_quality.fit(docs, C.table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of near copies stays."""
+    C.small_batches(spark)
     return op6_near_dup.keep_one(docs)
 
 
@@ -33,6 +38,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces (ids of the n best), scores and digests of what the mix holds."""
+    C.small_batches(spark)
     return op8_sentencepiece.encode(docs)
 
 

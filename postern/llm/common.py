@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SALTS = 256
+#: Tables that an operator keeps in a Python worker from task to task; they load again where they are needed.
+KEPT: list[dict] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -86,16 +89,36 @@ def semi(rows: DataFrame, ids: DataFrame, key: str, most: int = 2_000_000) -> Da
     return rows.join(F.broadcast(ids) if few else ids, key, "left_semi")
 
 
+def small_batches(spark: SparkSession, most: str = "2m") -> None:
+    """From now on Spark sends rows to Python in batches of about ``most`` bytes, not of 10,000 rows of any size."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches; then freed memory goes back to the system, as Python workers live on between tasks."""
     try:
         yield from batches
     finally:
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        give_back()
+
+
+def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, tidied; first the tables go that other operators left in this worker."""
+    if any(KEPT):
+        for kept in KEPT:
+            kept.clear()
+        gc.collect()  # a table may hold itself
+        give_back()
+    yield from tidy(batches)
 
 
 def text_buffer(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -168,4 +191,4 @@ def by_group(df: DataFrame, key: str, run: Callable[[pa.RecordBatch], pa.RecordB
         if out:
             yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
-    return df.repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(lambda batches: tidy(apply(batches)), schema)
+    return df.repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(lambda batches: alone(apply(batches)), schema)

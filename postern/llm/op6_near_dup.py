@@ -180,7 +180,7 @@ def sketches(docs: DataFrame, row: str | None = None) -> DataFrame:
 
     number = F.col(f"`{row}`") if row else F.lit(None)
     schema = "doc_id long, n_shingles long, class_a long, class_b long, roots array<long>, tokens array<smallint>, row long"
-    return docs.select("doc_id", "text", number.cast("long").alias("row")).mapInArrow(lambda batches: C.tidy(run(batches)), schema)
+    return docs.select("doc_id", "text", number.cast("long").alias("row")).mapInArrow(lambda batches: C.alone(run(batches)), schema)
 
 
 def _class(value: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +206,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
             full = pa.array([raw[8 * x: 8 * y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
             yield pa.record_batch({"class_a": pa.array(a.view(np.int64)), "class_b": pa.array(b.view(np.int64)), "full": full})
 
-    return docs.select("text").mapInArrow(lambda batches: C.tidy(run(batches)), "class_a long, class_b long, full binary")
+    return docs.select("text").mapInArrow(lambda batches: C.alone(run(batches)), "class_a long, class_b long, full binary")
 
 
 def _find(parent: list[int], x: int) -> int:

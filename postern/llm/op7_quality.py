@@ -183,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model
             x = statistics(*C.text_buffer(batch.column("text")), words)
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "quality": batch.column("quality"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
-    x = rows.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "doc_id long, quality int, x binary")
+    x = rows.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(lambda batches: C.alone(run(batches)), "doc_id long, quality int, x binary")
     got = x.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x")).orderBy("doc_id").collect()
     return train(np.array([np.frombuffer(r.x) for r in got]).reshape(len(got), FEATURES), np.array([r.quality > 0 for r in got], float))
 
@@ -200,7 +200,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in C.slices(batches, "text"):
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": pa.array(scores(batch, model, words))})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: C.alone(run(batches)), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -211,7 +211,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
         for batch in C.slices(batches, "text"):
             yield batch.filter(pa.array(scores(batch, model, words) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda batches: C.alone(run(batches)), docs.schema)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,8 @@ from array import array
 import ahocorasick
 import numpy as np
 
+from . import common as C
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN = 10.0
@@ -343,6 +345,7 @@ class Forward:
 
 
 _loaded: dict[str, Lattice] = {}
+C.KEPT.append(_loaded)
 
 
 def lattice(path: str) -> Lattice:
